@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html, warc
+from . import bpe, html, mixing, quality_rules, warc
 from .common import Scratch, table
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), Scratch(spark))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Scratch(spark)).drop("reasons")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
 
@@ -22,5 +30,5 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_bpe": op5_bpe, "op7_warc": op7_warc, "op10_html": op10_html}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_mixing": op3_mixing, "op4_quality_rules": op4_quality_rules, "op5_bpe": op5_bpe, "op7_warc": op7_warc, "op10_html": op10_html}
 ORACLES: dict[str, str] = {}
