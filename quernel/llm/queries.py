@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, html, jaccard, mixing, quality_model, quality_rules, topk, toxicity, warc
+from . import bpe, html, jaccard, licenses, mixing, quality_model, quality_rules, topk, toxicity, warc
 from .common import Scratch, table
 
 
@@ -38,6 +39,11 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), Scratch(spark)).drop("status")
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(licenses.documents_as_files(table(spark, sf_dir, "documents")), Scratch(spark))
+    return found.withColumn("doc_id", F.regexp_extract("path", r"([0-9-]+)(\.txt)?$", 1).cast("bigint"))
+
+
 def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,7 +52,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_topk": op1_topk, "op2_jaccard": op2_jaccard, "op3_mixing": op3_mixing, "op4_quality_rules": op4_quality_rules, "op5_bpe": op5_bpe, "op6_toxicity": op6_toxicity, "op7_warc": op7_warc, "op9_quality_model": op9_quality_model, "op10_html": op10_html}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_topk": op1_topk, "op2_jaccard": op2_jaccard, "op3_mixing": op3_mixing, "op4_quality_rules": op4_quality_rules, "op5_bpe": op5_bpe, "op6_toxicity": op6_toxicity, "op7_warc": op7_warc, "op8_licenses": op8_licenses, "op9_quality_model": op9_quality_model, "op10_html": op10_html}
 ORACLES: dict[str, str] = {
     "op1_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .common import held_out, map_rows
 
@@ -200,4 +201,4 @@ def flagged(docs: DataFrame, labels: DataFrame, text: str = "text", most: int =
                 z = scaled(np.array([_grammar(learned).features(t) for t in part.column(part.num_columns - 1).to_pylist()])) @ np.array(weights)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array((z >= 0).astype(np.int32))], names=[*names, "_toxic"])
 
-    return rows.mapInArrow(run, docs.schema.add("_toxic", "int"))
+    return rows.mapInArrow(run, StructType([*docs.schema.fields, StructField("_toxic", IntegerType())]))
