@@ -74,7 +74,7 @@ def ranking_tokens(c: Column) -> Column:
 
 def text_list(c: Column, sep: str = ",") -> Column:
     """The trimmed, non-empty parts of a separated text; null gives an empty list."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), sep), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), sep), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def squeeze_and_cut(c: Column, most: int = 700) -> Column:
