@@ -25,6 +25,8 @@ from .shingles import shingle_sets, slices
 
 #: Share of all shingles at which one counts as common, which bounds their number, and the bound of the list sent out.
 COMMON, MOST_COMMON = 1e-6, 400_000
+#: Buckets of ids that are sent out before texts are joined with the ids that need them.
+BUCKETS = 1 << 20
 
 
 def digest(values: np.ndarray) -> int:
@@ -93,7 +95,11 @@ def prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], words: int,
 def verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, words: int, share: int) -> DataFrame:
     """The linked ones of the pairs (a, b, a_doc, b_doc) of class ids and documents that hold their sets."""
     need = pairs.select(F.col("a_doc").alias("doc_id")).union(pairs.select(F.col("b_doc").alias("doc_id"))).distinct()
-    texts = scratch.keep(docs.join(need, "doc_id", "left_semi"))
+    # Buckets of the needed ids are BUCKETS rows at most, whatever the input, so they may be broadcast: most texts that are not
+    # needed stay where they are, and the exact join deals out the rest.
+    bucket = lambda: F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).alias("bucket")
+    near = docs.select("doc_id", "text", bucket()).join(F.broadcast(need.select(bucket()).distinct()), "bucket", "left_semi").drop("bucket")
+    texts = scratch.keep(near.join(need, "doc_id", "left_semi"))
     both = pairs.join(texts.select(F.col("doc_id").alias("a_doc"), F.col("text").alias("a_text")), "a_doc").join(texts.select(F.col("doc_id").alias("b_doc"), F.col("text").alias("b_text")), "b_doc").select("a", "b", "a_text", "b_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
