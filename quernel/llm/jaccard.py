@@ -159,7 +159,10 @@ def link(docs: DataFrame, scratch: Scratch, words: int = 5, share: int = 80, tex
     groups = classes.groupBy("gid", "n").agg(F.min(F.struct("doc", "cid")).alias("lead"), F.count("*").alias("members")).select("gid", F.col("lead.doc").alias("doc"), F.col("lead.cid").alias("cid"), "members")
     lead = scratch.keep(live.join(groups.select(F.col("doc").alias("doc_id"), "cid", "members"), ["doc_id", "cid"]).dropDuplicates(["cid"]).select("gid", "doc_id", "cid", "n", F.size("prefix").cast("bigint").alias("p"), "lc", "lh", "members", "prefix"))
     facts = scratch.keep(lead.drop("prefix"))
-    postings = lead.select("gid", F.explode("prefix").alias("tok"))
+    # A pair's first shared shingle lies in the prefix of either set and, in the smaller one, even within the shorter prefix
+    # that a partner at least as large needs.
+    short = F.col("n") - F.ceil(2.0 * share * F.col("n") / (100 + share)) + 1
+    postings = lead.select("gid", short.alias("short"), F.posexplode("prefix").alias("pos", "tok")).select("gid", "tok", (F.col("pos") < F.col("short")).alias("early"))
     shared = postings.groupBy("tok").agg(F.min("gid").alias("lo"), F.max("gid").alias("hi")).where("lo < hi").select("tok")
     post = scratch.keep(postings.join(shared, "tok", "left_semi"))
     # How central a group is: the share of its prefix that other groups hold too.
@@ -186,20 +189,28 @@ def link(docs: DataFrame, scratch: Scratch, words: int = 5, share: int = 80, tex
         labels = components(edges, scratch)
     # Pairs across components: lists first meet as components, then their members. A group of several members has a list of
     # its own, which every one of them passes on to verification.
-    own = facts.where("members > 1").select("gid", F.xxhash64("gid", F.lit("own")).alias("tok"), F.lit(1 << 40).alias("w"))
-    lists = post.withColumn("w", F.lit(1).cast("bigint")).unionByName(own)
+    own = facts.where("members > 1").select("gid", F.xxhash64("gid", F.lit("own")).alias("tok"), F.lit(True).alias("early"))
+    lists = post.unionByName(own)
     each = lists.join(classes.select("gid", "cid", "n", "doc"), "gid").join(labels.select(F.col("v").alias("cid"), "c"), "cid", "left").withColumn("comp", F.coalesce("c", "cid")).drop("c")
-    each = scratch.keep(each.join(facts.select("gid", "p", "lc", "lh"), "gid"))
-    kinds = each.groupBy("tok", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    each = scratch.keep(each.select("tok", "comp", "cid", "n", "doc", "early"))
+    kinds = each.groupBy("tok", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("k"), F.max("early").alias("any"))
     several = kinds.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tok")
     kinds = scratch.keep(kinds.join(several, "tok"))
-    x = kinds.select("tok", F.col("comp").alias("ca"), F.col("least").alias("la"), F.col("most").alias("ma"))
-    y = kinds.select("tok", F.col("comp").alias("cb"), F.col("least").alias("lb"), F.col("most").alias("mb"))
-    cross = x.join(y, "tok").where(F.col("ca") < F.col("cb")).where((100 * F.col("mb") >= share * F.col("la")) & (100 * F.col("ma") >= share * F.col("lb"))).select("tok", "ca", "cb")
-    one = lambda s, comp: each.select("tok", F.col("comp").alias(comp), F.col("cid").alias(s), F.col("doc").alias(f"{s}_doc"), *(F.col(c).alias(f"{s}_{c}") for c in ("n", "p", "lc", "lh")), F.col("w").alias(f"{s}_w"))
-    met = cross.join(one("a", "ca"), ["tok", "ca"]).join(one("b", "cb").drop("b_w"), ["tok", "cb"]).where(100 * F.least("a_n", "b_n") >= share * F.greatest("a_n", "b_n"))
-    keys = ["a", "b", "a_doc", "b_doc", *(f"{s}_{c}" for s in "ab" for c in ("n", "p", "lc", "lh"))]
-    pairs = scratch.keep(met.groupBy(*keys).agg(F.sum("a_w").alias("c")).where(enough("c", share)).select("a", "b", "a_doc", "b_doc"))
+    # The component with fewer members in a list is expanded first, so a single document meets a large component once.
+    x = kinds.select("tok", *(F.col(c).alias(f"x_{c}") for c in ("comp", "least", "most", "k", "any")))
+    y = kinds.select("tok", *(F.col(c).alias(f"y_{c}") for c in ("comp", "least", "most", "k", "any")))
+    fit = (100 * F.col("y_most") >= share * F.col("x_least")) & (100 * F.col("x_most") >= share * F.col("y_least")) & (F.col("x_any") | F.col("y_any"))
+    cross = x.join(y, "tok").where((F.struct("x_k", "x_comp") < F.struct("y_k", "y_comp")) & fit).select("tok", F.col("x_comp").alias("ca"), F.col("y_comp").alias("cb"))
+    one = lambda s, comp: each.select("tok", F.col("comp").alias(comp), *(F.col(c).alias(f"{s}_{c}") for c in ("cid", "n", "doc", "early")))
+    near = 100 * F.least("a_n", "b_n") >= share * F.greatest("a_n", "b_n")
+    early = F.when(F.col("a_n") == F.col("b_n"), F.col("a_early") & F.col("b_early")).when(F.col("a_n") < F.col("b_n"), F.col("a_early")).otherwise(F.col("b_early"))
+    met = cross.join(one("a", "ca"), ["tok", "ca"]).join(one("b", "cb"), ["tok", "cb"]).where(near & early)
+    met = met.select(F.least("a_cid", "b_cid").alias("a"), F.greatest("a_cid", "b_cid").alias("b")).distinct()
+    # Whole prefixes of the pair tell how many shingles they share.
+    heads = classes.select("cid", "gid", "doc").join(lead.select("gid", "p", "n", "lc", "lh", "prefix"), "gid")
+    with_head = lambda s: heads.select(F.col("cid").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in ("doc", "p", "n", "lc", "lh", "prefix")))
+    met = met.join(with_head("a"), "a").join(with_head("b"), "b").withColumn("c", F.size(F.array_intersect("a_prefix", "b_prefix")))
+    pairs = scratch.keep(met.where(enough("c", share)).select("a", "b", "a_doc", "b_doc"))
     edges = scratch.keep(edges.union(verified(pairs, docs, scratch, words, share)))
     labels = components(edges, scratch)
     parts = classes.join(labels.select(F.col("v").alias("cid"), "c"), "cid", "left").select("cid", F.coalesce("c", "cid").alias("comp"), "doc")
