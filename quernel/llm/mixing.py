@@ -67,12 +67,13 @@ def plan(docs: DataFrame, scratch: Scratch, seed: int = 17, most: float = 3.0, t
     """
     items = docs.select(F.col("source").cast("string").alias("source"), F.col("doc_id").cast("bigint").alias("doc_id"), words_in(text).alias("size"))
     items = scratch.keep(items.groupBy("source", "doc_id", "size").agg(F.count("*").alias("m")))
-    goals = scratch.keep(targets(items.groupBy("source").agg(F.sum(F.col("m") * F.col("size")).alias("source_size")), most))
+    goals = targets(items.groupBy("source").agg(F.sum(F.col("m") * F.col("size")).alias("source_size")), most)
     share = goals.select(F.col("source").alias("s"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("share"))
     ideal = items.join(share, F.col("source").eqNullSafe(F.col("s"))).withColumn("ideal", F.col("m") * F.col("share"))
     near = F.abs(F.col("ideal") - F.round("ideal")) < 1e-9
     ideal = ideal.withColumn("base", F.when(near, F.round("ideal")).otherwise(F.floor("ideal")).cast("bigint"))
-    ideal = scratch.keep(ideal.select("source", "doc_id", "size", "m", "base", F.when(near | (F.col("size") == 0), 0.0).otherwise(F.col("ideal") - F.col("base")).alias("p")))
+    # Cheap to make again from the written items, so it isn't written itself.
+    ideal = ideal.select("source", "doc_id", "size", "m", "base", F.when(near | (F.col("size") == 0), 0.0).otherwise(F.col("ideal") - F.col("base")).alias("p"))
     decided, open_ = ideal.where("p = 0"), ideal.where("p > 0")
     for level in range(64):
         counts = open_.groupBy(F.col("source").alias("s")).agg(F.count("*").alias("n"))
