@@ -72,7 +72,8 @@ _BM25 = f"""{_D_TERMS}, {_Q_TERMS},
     sc AS (SELECT qid, doc_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / al))), 6) AS score
            FROM qt JOIN dt USING (term) JOIN df USING (term) JOIN dl USING (doc_id), nd GROUP BY qid, doc_id),
     rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM sc)"""
-_QV = "SELECT vec_id AS qid, embedding AS qv FROM embeddings WHERE vec_id < 20"
+#: The query set of searches: every row whose id is divisible by 20, against all rows.
+_QV = "SELECT vec_id AS qid, embedding AS qv FROM embeddings WHERE vec_id % 20 = 0"
 _COS = "list_cosine_similarity(list_transform({0}, lambda x: CAST(x AS DOUBLE)), list_transform({1}, lambda x: CAST(x AS DOUBLE)))"
 
 
@@ -107,8 +108,9 @@ def vec_topk_idset(spark: SparkSession, d: str) -> DataFrame:
     return one_query(e, retrieve.apply(e.withColumn("is_active", F.lit(True)), retrieve.Filters(ids=ids), key="vec_id"), 10)
 
 
-def twenty(e: DataFrame) -> DataFrame:
-    return e.where("vec_id < 20").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
+def query_vectors(e: DataFrame) -> DataFrame:
+    """The query set of searches: every row whose id is divisible by 20."""
+    return e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
 
 
 _BATCH = f"WITH q AS ({_QV}), s AS (SELECT qid, vec_id, {_COS.format('embedding', 'qv')} AS score FROM embeddings, q), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s)"
@@ -117,13 +119,13 @@ _BATCH = f"WITH q AS ({_QV}), s AS (SELECT qid, vec_id, {_COS.format('embedding'
 @query(_BATCH + " SELECT qid, rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 10")
 def vec_batch_topk(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "embeddings")
-    return retrieve.batch_top_k(e, twenty(e), 10).select("qid", "rank", "vec_id", F.round("score", 6).alias("score"))
+    return retrieve.batch_top_k(e, query_vectors(e), 10).select("qid", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
 @query(_BATCH + ", p AS (SELECT r.*, label FROM r JOIN embeddings USING (vec_id) WHERE rank <= 15), o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY (label = 3) DESC, score DESC, vec_id) AS place FROM p) SELECT qid, place, vec_id, round(score, 6) AS score FROM o WHERE place <= 5")
 def vec_overfetch_rerank(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "embeddings")
-    pool = retrieve.batch_top_k(e, twenty(e), 15).join(e.select("vec_id", "label"), "vec_id")
+    pool = retrieve.batch_top_k(e, query_vectors(e), 15).join(e.select("vec_id", "label"), "vec_id")
     order = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.col("label") == 3), F.desc("score"), "vec_id"))
     return pool.withColumn("place", order).where("place <= 5").select("qid", "place", "vec_id", F.round("score", 6).alias("score"))
 
@@ -244,7 +246,8 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return bm25_scores(spark, d, 10).select("qid", "rank", "doc_id", "score")
 
 
-_POOL = f"""pool AS (SELECT qid, vec_id AS doc_id FROM ({_BATCH} SELECT qid, vec_id FROM r WHERE rank <= 30) JOIN documents ON doc_id = vec_id),
+_PASSAGE_VECTORS = "SELECT vec_id AS qid, embedding AS qv FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)"
+_POOL = f"""pool AS (SELECT qid, vec_id AS doc_id FROM ({_BATCH.replace(_QV, _PASSAGE_VECTORS)} SELECT qid, vec_id FROM r WHERE rank <= 30) JOIN documents ON doc_id = vec_id),
     t0 AS (SELECT doc_id, {s_stems('text')} AS t FROM documents WHERE doc_id IN (SELECT doc_id FROM pool)),
     pd AS (SELECT qid, doc_id, t FROM pool JOIN t0 USING (doc_id)), st AS (SELECT qid, count(*) AS n, avg(len(t)) AS al FROM pd GROUP BY qid),
     pt AS (SELECT qid, doc_id, len(t) AS l, term, count(*) AS tf FROM (SELECT qid, doc_id, t, unnest(t) AS term FROM pd) GROUP BY ALL),
@@ -253,9 +256,11 @@ _POOL = f"""pool AS (SELECT qid, vec_id AS doc_id FROM ({_BATCH} SELECT qid, vec
 
 @query(f"WITH {_POOL} SELECT qid, doc_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / al))), 6) AS score FROM qt JOIN pt USING (qid, term) JOIN pf USING (qid, term) JOIN st USING (qid) GROUP BY qid, doc_id")
 def bm25_candidates_idf(spark: SparkSession, d: str) -> DataFrame:
-    """BM25 whose idf and mean length are those of each query's own candidates."""
+    """BM25 whose idf and mean length are those of each query's own candidates. Every passage is a query; the vector with its
+    id is its own."""
     e = read(spark, d, "embeddings")
-    pool = retrieve.batch_top_k(e, twenty(e), 30).select("qid", F.col("vec_id").alias("doc_id"))
+    passages = e.join(read(spark, d, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
+    pool = retrieve.batch_top_k(e, passages.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv")), 30).select("qid", F.col("vec_id").alias("doc_id"))
     docs = read(spark, d, "documents").join(pool.select("doc_id").distinct(), "doc_id", "left_semi")
     lengths = pool.join(rank.lengths(docs, "doc_id", "text"), "doc_id").groupBy("qid").agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
     terms = pool.join(rank.terms(docs, "doc_id", "text"), "doc_id")
@@ -341,7 +346,7 @@ def macro_avg(spark: SparkSession, d: str) -> DataFrame:
 @query(_BATCH + " SELECT qid, count(*) AS candidate_count, least(count(*), 5) AS returned_count, count(*) FILTER (score > 0) AS nonzero_count, round(min(score), 6) AS min_score, round(max(score), 6) AS max_score, round(avg(score), 6) AS mean_score FROM r WHERE rank <= 15 GROUP BY qid")
 def query_score_stats(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "embeddings")
-    s = metrics.score_stats(twenty(e), retrieve.batch_top_k(e, twenty(e), 15), 5)
+    s = metrics.score_stats(query_vectors(e), retrieve.batch_top_k(e, query_vectors(e), 15), 5)
     return s.select("qid", "candidate_count", F.col("returned_count").cast("bigint"), "nonzero_count", *(F.round(c, 6).alias(c) for c in ("min_score", "max_score", "mean_score")))
 
 
@@ -356,7 +361,7 @@ def query_coverage(spark: SparkSession, d: str) -> DataFrame:
 @query(_BATCH + " SELECT qid, CASE WHEN max(score) <= 0.3 THEN 'no_match' WHEN max(score) < 0.5 THEN 'low_confidence' ELSE 'confident' END AS match_quality FROM r WHERE vec_id <> qid GROUP BY qid")
 def match_quality(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "embeddings")
-    top = retrieve.batch_top_k(e, twenty(e), 2).where("vec_id <> qid").groupBy("qid").agg(F.max("score").alias("top"))
+    top = retrieve.batch_top_k(e, query_vectors(e), 2).where("vec_id <> qid").groupBy("qid").agg(F.max("score").alias("top"))
     return top.select("qid", metrics.match_quality(F.col("top")).alias("match_quality"))
 
 
