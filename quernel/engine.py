@@ -58,8 +58,21 @@ class Engine:
         out = queries.select("qid").join(per, "qid", "left").select("qid", F.coalesce("match_quality", F.lit("no_match")).alias("match_quality"), F.coalesce("names", F.array().cast("array<string>")).alias("names"))
         return out.withColumn("message", policy.template_message(F.col("match_quality"), F.col("names")))
 
+    def chat(self, queries: DataFrame, limit: int = 5, filters: retrieve.Filters | None = None) -> DataFrame:
+        """qid, places (ids in order), message, used_fallback and guard_reason: the template's answer, whatever the match
+        quality, as the output guard lets it pass."""
+        found = self.search(queries, limit, filters).join(self.entities.select("external_id", "name"), "external_id")
+        per = found.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "external_id", "name"))).alias("top"))  # limit rows
+        none = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+        out = queries.select("qid").join(per, "qid", "left").select("qid", none(F.transform("top", lambda x: x["external_id"].cast("string"))).alias("places"), none(F.transform("top", lambda x: x["name"])).alias("names"))
+        mode = F.lit("confident")
+        guarded = out.withColumn("g", policy.guard(policy.template_message(mode, F.col("names")), mode, F.col("names")))
+        return guarded.select("qid", "places", "g.message", "g.used_fallback", F.col("g.reason").alias("guard_reason"))
+
+    def related_posts(self, queries: DataFrame, limit: int = 5, city: str | None = None) -> DataFrame:
+        """qid, rank, external_id and score of the best entities of a city; an empty city means any."""
+        return self.search(queries, limit, retrieve.Filters(city=city or None)).drop("match_quality")
+
     def evaluate(self, queries: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
         ranking = self.search(queries, k).withColumnRenamed("external_id", "doc_id")
         return metrics.macro(metrics.evaluate(queries, ranking, qrels, k))
-
-

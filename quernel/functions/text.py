@@ -72,6 +72,18 @@ def ranking_tokens(c: Column) -> Column:
     return F.transform(F.filter(raw_tokens(c), _wanted), stem)
 
 
+#: How often a place's category and tags are repeated after its document.
+CATEGORY_EXTRA, TAGS_EXTRA = 1, 5
+
+
+def place_tokens(document: Column, category: Column, tags: Column, *others: Column) -> Column:
+    """Ranking tokens of a place: its document, or else its other fields (name first, as given) with category and tags, then
+    category and tags again by weight. Null and empty fields are passed over."""
+    filled = lambda c: F.when(c != "", c)
+    base = F.coalesce(filled(document), F.concat_ws(" ", *map(filled, (*others, category, tags))))
+    return ranking_tokens(F.concat_ws(" ", base, *[filled(category)] * CATEGORY_EXTRA, *[filled(tags)] * TAGS_EXTRA))
+
+
 def text_list(c: Column, sep: str = ",") -> Column:
     """The trimmed, non-empty parts of a separated text; null gives an empty list."""
     return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), sep), lambda x: F.trim(x)), lambda x: x != "")

@@ -15,6 +15,13 @@ LOW = ("Quizá no sean exactamente lo que estás buscando, pero podrían interes
 GOOD = ("Encontré algunas opciones reales que pueden encajar con tu plan: ", ". Revisa sus detalles y elige la que mejor vaya con la salida.")
 NONE = "No encontré lugares suficientemente cercanos a tu búsqueda. Puedes intentar con otra zona, ocasión o tipo de plan."
 
+#: What stands in for a message that the guard refuses, by mode and otherwise.
+FALLBACKS = {
+    "no_match": "Por ahora no hay lugares que se acoplen a tus necesidades. Prueba con otro tipo de plan, zona u ocasión y lo intentamos de nuevo.",
+    "low_confidence": "Quizá estas opciones no sean exactamente lo que buscas, pero podrían interesarte. Revísalas y decide si alguna encaja con tu plan.",
+}
+FALLBACK = "Encontré algunas opciones que coinciden con lo que buscas. Puedes revisar sus detalles y elegir la que mejor se adapte a tu plan."
+
 
 def template_message(mode: Column, names: Column) -> Column:
     first = F.array_join(F.slice(names, 1, 3), ", ")
@@ -37,3 +44,17 @@ def guard_reason(message: Column, mode: Column, allowed: Column) -> Column:
         .when((mode == "no_match") & mentions, "place_mentioned_without_matches")
         .when((F.size(allowed) > 0) & mentions & ~known, "mentions_unverified_place")
     )
+
+
+def fallback(mode: Column) -> Column:
+    """The message of a mode that stands in for a refused one."""
+    out = F.when(F.lit(False), "")
+    for name, text in FALLBACKS.items():
+        out = out.when(mode == name, text)
+    return out.otherwise(FALLBACK)
+
+
+def guard(message: Column, mode: Column, allowed: Column) -> Column:
+    """A struct of message, used_fallback and reason: the squeezed and cut message, or the mode's fallback and why."""
+    reason = guard_reason(message, mode, allowed)
+    return F.struct(F.when(reason.isNull(), squeeze_and_cut(message)).otherwise(fallback(mode)).alias("message"), reason.isNotNull().alias("used_fallback"), reason.alias("reason"))

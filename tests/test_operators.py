@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quernel.engine import Config, Engine, check_request
-from quernel.operators import metrics, policy, rank, retrieve, sync
+from quernel.functions.text import place_tokens
+from quernel.operators import embed, metrics, policy, rank, retrieve, sync
 
 
 def test_bm25_pins(spark):
@@ -80,7 +81,35 @@ def test_engine(spark):
     top = engine.search(queries, 1).collect()
     assert [(r["external_id"], r["match_quality"]) for r in top] == [("p1", "confident")]
     assert "Cafe Azul" in engine.recommend(queries, 1).first()["message"]
+    said = engine.chat(queries, 1).first()
+    assert said["places"] == ["p1"] and "Cafe Azul" in said["message"] and not said["used_fallback"] and said["guard_reason"] is None
+    assert [r["external_id"] for r in Engine(entities.withColumn("city", F.lit("x")), config).related_posts(queries, 1, "").collect()] == ["p1"]
     with pytest.raises(ValueError):
         check_request("x", 5, lat=1.0)
     with pytest.raises(ValueError):
         Config(no_match=0.6)
+
+
+def test_guard_gives_the_fallback(spark):
+    rows = [("corto", "no_match"), ("corto", "low_confidence"), (None, "confident"), ("Un  plan tranquilo\npara hoy", "confident")]
+    df = spark.createDataFrame(rows, "m string, mode string")
+    got = [tuple(r[0]) for r in df.select(policy.guard(F.col("m"), F.col("mode"), F.array().cast("array<string>"))).collect()]
+    reason = "empty_or_too_short"
+    assert got == [(policy.FALLBACKS["no_match"], True, reason), (policy.FALLBACKS["low_confidence"], True, reason), (policy.FALLBACK, True, reason), ("Un plan tranquilo para hoy", False, None)]
+
+
+def test_mean_of_words(spark):
+    words = spark.createDataFrame([("cafe", [1.0, 0.0, 0.0]), ("parque", [0.0, 1.0, 0.0])], "word string, vector array<float>")
+    rows = spark.createDataFrame([("a", "Café, parque"), ("b", "cafe cafe nube"), ("c", None), ("d", "nube")], "external_id string, text string")
+    got = {r["external_id"]: r["embedding"] for r in embed.mean_of_words(rows, words, 3).collect()}
+    assert got["a"] == pytest.approx([math.sqrt(0.5), math.sqrt(0.5), 0]) and got["b"] == pytest.approx([1, 0, 0]) and got["c"] == got["d"] == [0.0] * 3
+    known = {r["external_id"]: r["embedding"] for r in embed.mean_of_words(rows, words, 3, unknown=[0, 0, 1]).collect()}
+    assert known["b"] == pytest.approx([2 / math.sqrt(5), 0, 1 / math.sqrt(5)]) and known["d"] == [0.0, 0.0, 1.0]
+    with pytest.raises(ValueError):
+        embed.mean_of_words(rows, words, 3, unknown=[1.0])
+
+
+def test_place_tokens(spark):
+    df = spark.createDataFrame([("cafe rico", "bar", "musica", "Azul"), (None, "bar", None, "Azul"), ("", None, "", None)], "d string, c string, t string, n string")
+    got = [r[0] for r in df.select(place_tokens(F.col("d"), F.col("c"), F.col("t"), F.col("n"))).collect()]
+    assert got == [["cafe", "ric", "bar"] + ["music"] * 5, ["azul", "bar", "bar"], []]
