@@ -245,6 +245,13 @@ def test_html():
     assert html.main_text("just text") == "just text" and html.main_text("<p>unclosed <b>x") == "unclosed x"
 
 
+def test_html_teaser():
+    body = "<p>The page's main text lies in a plain element and goes on for much longer than the card.</p>" * 4
+    got = html.main_text(f"<div>{body}</div><article><h3>Teaser</h3><p>A card.</p></article>")
+    assert got.startswith("The page's main text") and got.count("much longer") == 4
+    assert html.main_text(f"<div>menu</div><main>{body}</main>").count("much longer") == 4 and "menu" not in html.main_text(f"<div>menu</div><main>{body}</main>")
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>a  b</p></article>", "t"), (2, None, None, "t"), (None, "u", "<p>x", "t")], "page_id bigint, url string, html string, text string")
     got = sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in html.extract(df).collect())
