@@ -3,7 +3,8 @@
 Markup is stripped to lines (one for each block of text). Lines inside menus, headers, footers, sidebars, notices,
 adverts, forms and reader comments carry no weight, as told by element names and by whole words of class, id and role;
 what is left is weighed over a sliding window of lines. The text surges where a window's sum first passes the threshold
-and dives where it falls to nothing; kept is everything between the surge and the dive of the heaviest stretch. Where at least half of the text that is left lies
+and dives where it falls to nothing; kept is everything between the surge and the dive. Lines that carry no weight are
+taken out before, so that a box in mid-article doesn't end the stretch. Where at least half of the text that is left lies
 in <article> or <main>, those tags take the place of surge and dive, and all of that text is kept.
 """
 
@@ -131,15 +132,16 @@ def main_text(page: str | None, window: int = 3, threshold: int = 86) -> str:
     lines, counts, inner = lines_of(page)
     if not any(counts):
         return ""
-    lengths = np.array([len(x) if c else 0 for x, c in zip(lines, counts, strict=True)], np.int64)
-    marked = np.array([i and c for i, c in zip(inner, counts, strict=True)])
+    marked = np.array([i for i, c in zip(inner, counts, strict=True) if c])
+    lines = [x for x, c in zip(lines, counts, strict=True) if c]
+    lengths = np.array([len(x) for x in lines], np.int64)
     if 2 * lengths[marked].sum() >= lengths.sum():
         # The page marks its article; a tag around less than half of the text is a teaser or the like and decides nothing.
         return " ".join(x for x, m in zip(lines, marked, strict=True) if m)
     first, last = stretch(lengths, window, threshold)
     if last < 0:
         first, last = stretch(lengths, window, 0)
-    return " ".join(x for x, c in zip(lines[first : last + 1], counts[first : last + 1], strict=True) if c)
+    return " ".join(lines[first : last + 1])
 
 
 def extract(pages: DataFrame, window: int = 3, threshold: int = 86) -> DataFrame:

@@ -252,6 +252,14 @@ def test_html_teaser():
     assert html.main_text(f"<div>menu</div><main>{body}</main>").count("much longer") == 4 and "menu" not in html.main_text(f"<div>menu</div><main>{body}</main>")
 
 
+def test_html_box_in_mid_article():
+    long, short = "<p>A first part that goes on for long enough to pass the threshold of the window.</p>" * 6, "<p>A second part that is the smaller one.</p>" * 3
+    for box in ("<aside><p>a<p>b<p>c<p>d</aside>", '<ul class="related"><li>a<li>b<li>c<li>d</ul>', "<form><p>a<p>b<p>c<p>d</form>"):
+        for parts in ((long, short), (short, long)):
+            got = html.main_text(f"<div>{parts[0]}{box}{parts[1]}</div>")
+            assert got.count("first part") == 6 and got.count("second part") == 3 and " b " not in got, box
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>a  b</p></article>", "t"), (2, None, None, "t"), (None, "u", "<p>x", "t")], "page_id bigint, url string, html string, text string")
     got = sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in html.extract(df).collect())
