@@ -21,7 +21,7 @@ def kept_rows(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the risk-controlled cutoffs. Rows that share an id stay if one of them does."""
-    judged = quality_rules.judge(docs, table(spark, sf_dir, "labels"), Scratch(spark))
+    judged = quality_rules.judge(docs, table(spark, sf_dir, "labels"), Scratch(spark), joint=True)
     return kept_rows(docs, judged.where("kept"))
 
 

@@ -7,6 +7,10 @@ above it, P(Bin(n, share) <= k) is at most delta divided by the number of all te
 chosen cutoffs hold at once with probability 1 - delta. Rates share the allowed false rejection evenly. Among admissible
 cutoffs that reject more bad than good labelled documents, the one with the largest difference wins, ties to the more
 lenient; where none is, the rate rejects nothing in that stratum.
+
+That is what the SQL of op4_quality_rules states, and it needs about 1,600 good documents in a stratum. The pipeline takes
+the joint cutoffs instead (joint_cutoffs), under the same bound: the bad labels alone put the cutoffs in an order, and the
+good ones test the joint rejection of the first 1, 2, ... of them until a test fails, so only strata share delta.
 """
 
 from __future__ import annotations
@@ -87,14 +91,44 @@ def cutoffs(counts: DataFrame, labels: DataFrame, share: float = 0.02, delta: fl
     return chosen.groupBy("stratum", "rate").agg(F.max(F.struct((F.col("bad") - F.col("k")).alias("gain"), "cutoff")).alias("best")).select("stratum", "rate", "best.cutoff")
 
 
-def judge(docs: DataFrame, labels: DataFrame, scratch: Scratch, share: float = 0.02, delta: float = 0.05, text: str = "text", stratum: str = "lang") -> DataFrame:
-    """doc_id, the counts, base_failed, kept and the rates that reject (array) of every row.
+def joint_cutoffs(counts: DataFrame, labels: DataFrame, scratch: Scratch, share: float = 0.02, delta: float = 0.05) -> DataFrame:
+    """stratum, rate, cutoff: the chosen ones, by fixed-sequence tests of the share that all rates of a stratum reject together.
+
+    The order of cutoffs comes from bad documents only, which are no part of the tests, so each test holds at delta / strata.
+    A rate's cutoffs that reject more of them than the next more lenient one come from the most lenient on; rates whose
+    cutoffs still to come gain most in one step come first. The first failed test ends a stratum's sequence.
+    """
+    quality = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("quality").alias("quality"))
+    held = counts.where("not base_failed").join(quality, "doc_id")
+    above = [reduce(lambda a, b: a + b, [(c > x).cast("int") for x in GRIDS[r]]).alias(f"above_{r}") for r, c in rates().items()]
+    # At most 10,080 rows a stratum, however many labels.
+    bins = scratch.keep(held.select("stratum", "quality", *above).groupBy("stratum", *(f"above_{r}" for r in GRIDS)).agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad")))
+    each = F.array(*(F.struct(F.lit(n).alias("rank"), F.lit(r).alias("rate"), F.lit(i).alias("at"), F.lit(x).alias("cutoff"), (F.col(f"above_{r}") > i).alias("hit")) for n, (r, g) in enumerate(GRIDS.items()) for i, x in enumerate(g)))
+    hits = bins.select("*", F.explode(each).alias("x")).select(*bins.columns, "x.*")
+    lenient = Window.partitionBy("stratum", "rank").orderBy(F.desc("at"))
+    steps = hits.groupBy("stratum", "rank", "rate", "at", "cutoff").agg(F.sum(F.when(F.col("hit"), F.col("bad")).otherwise(0)).alias("all_bad"))
+    steps = steps.withColumn("gain", F.col("all_bad") - F.lag("all_bad", 1, 0).over(lenient)).withColumn("reach", F.max("gain").over(lenient.rowsBetween(0, Window.unboundedFollowing))).where("gain > 0")
+    steps = steps.withColumn("step", F.row_number().over(Window.partitionBy("stratum").orderBy(F.desc("reach"), "rank", F.desc("at")))).select("stratum", "rank", "rate", "at", "cutoff", "step")
+    # The step at which each bin is first rejected; what a step adds; and the sums up to each step.
+    met = hits.where("hit").alias("h").join(steps.alias("o"), F.expr("h.stratum <=> o.stratum and h.rank = o.rank and h.at = o.at"))
+    added = met.groupBy("h.stratum", *(f"above_{r}" for r in GRIDS), "good", "bad").agg(F.min("step").alias("step")).groupBy("stratum", "step").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    totals = bins.groupBy("stratum").agg(F.sum("good").alias("n")).withColumn("strata", F.count("*").over(Window.partitionBy()))
+    upto = Window.partitionBy("stratum").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    run = added.join(totals.withColumnRenamed("stratum", "s"), F.col("stratum").eqNullSafe(F.col("s"))).withColumns({"k": F.sum("good").over(upto), "gained": F.sum("bad").over(upto)})
+    passed = run.withColumn("passed", (F.col("n") > 0) & (binomial_tail("k", "n", share) <= F.lit(delta) / F.col("strata"))).withColumn("passed", F.min("passed").over(upto))
+    best = passed.where("passed and gained > k").groupBy("stratum").agg(F.max(F.struct((F.col("gained") - F.col("k")).alias("gain"), (-F.col("step")).alias("step"))).alias("m")).select(F.col("stratum").alias("s"), (-F.col("m.step")).alias("last"))
+    return steps.join(best, F.col("stratum").eqNullSafe(F.col("s")) & (F.col("step") <= F.col("last"))).groupBy("stratum", "rate").agg(F.min("cutoff").alias("cutoff"))
+
+
+def judge(docs: DataFrame, labels: DataFrame, scratch: Scratch, share: float = 0.02, delta: float = 0.05, text: str = "text", stratum: str = "lang", joint: bool = False) -> DataFrame:
+    """doc_id, the counts, base_failed, kept and the rates that reject (array) of every row; by joint_cutoffs where joint is set.
 
     Null strata are a stratum of their own; repeated rows give repeated results; without labels only the base rules reject.
     """
     counts = measured(docs, scratch, text, stratum)
     # One row for each stratum, with the cutoff of each rate (none: nothing is above it).
-    picked = cutoffs(counts, labels, share, delta).groupBy(F.col("stratum").alias("s")).agg(*(F.max(F.when(F.col("rate") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in GRIDS))
+    chosen = joint_cutoffs(counts, labels, scratch, share, delta) if joint else cutoffs(counts, labels, share, delta)
+    picked = chosen.groupBy(F.col("stratum").alias("s")).agg(*(F.max(F.when(F.col("rate") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in GRIDS))
     met = counts.join(scratch.keep(picked), F.col("stratum").eqNullSafe(F.col("s")), "left")
     reasons = F.filter(F.array(*(F.when(c > F.col(f"cut_{r}"), F.lit(r)) for r, c in rates().items())), lambda x: x.isNotNull())
     met = met.withColumn("reasons", reasons)

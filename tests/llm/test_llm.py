@@ -131,6 +131,21 @@ def test_quality_counts_and_control(spark):
     assert quality_rules.judge(docs_of(spark, rows).limit(0), labels, Scratch(spark)).count() == 0
 
 
+def test_joint_cutoffs(spark):
+    """500 good documents are too few for the grid of op4's SQL, not for the joint tests; a stratum too small for any gets none."""
+    rng = random.Random(2)
+    text = lambda bad: " ".join(f"v{rng.randrange(500)}" + "##" * bad for _ in range(40))
+    rows = [(i, text(i % 5 == 0), "de" if i < 625 else "fr", "s", None, 1, "x", "y", "z") for i in range(725)]
+    docs, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(i, int(i % 5 != 0), 0) for i in range(725)], LABELS)
+    kept = lambda joint: {r["doc_id"] for r in quality_rules.judge(docs, labels, Scratch(spark), joint=joint).where("kept").collect()}
+    assert kept(False) == set(range(725))
+    assert kept(True) == {i for i in range(725) if i >= 625 or i % 5}
+    assert quality_rules.judge(docs, labels.limit(0), Scratch(spark), joint=True).where("not kept and not base_failed").count() == 0
+    # More than the share of good documents look bad: nothing is rejected.
+    mixed = spark.createDataFrame([(i, int(i % 5 != 0 or i % 25 == 0), 0) for i in range(725)], LABELS)
+    assert quality_rules.judge(docs, mixed, Scratch(spark), joint=True).where("not kept").count() == 0
+
+
 def test_binomial_tail(spark):
     import math
 
