@@ -1,7 +1,7 @@
 """Licence scans: sparse TF-IDF cosine of headers and licence files to templates, and inheritance by directory.
 
-Files have a path and a text. Candidate passages (blocks of lines that hold a cue word) and whole licence files become
-sparse TF-IDF vectors over template terms only, and meet the templates in an equi-join on terms. A file without a licence
+Files have a path and a text. Candidate passages (lines, sentences and runs of words around each cue word, also where they
+are wrapped over lines; see passages_of) and whole licence files become sparse TF-IDF vectors over template terms only, and meet the templates in an equi-join on terms. A file without a licence
 of its own takes that of the licence file in its nearest ancestor directory: each path is joined with its own prefixes, so
 there is no search up a tree.
 """
@@ -24,10 +24,44 @@ TEMPLATES: dict[str, list[str]] = {
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
     "BSD-3-Clause": ["Released under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "GPL-3.0-or-later": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "GPL-2.0-only": ["This work is licensed under the GNU General Public License, version 2.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."],
+    "GPL-2.0-or-later": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
+    "LGPL-2.1-or-later": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "LGPL-3.0-or-later": ["This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "AGPL-3.0-or-later": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain."],
+    "CC0-1.0": ["The person who associated a work with this deed has dedicated the work to the public domain by waiving all rights to the work worldwide under copyright law"],
+    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
     "LicenseRef-proprietary": ["All rights reserved.", "Copyright. All rights reserved."],
 }
+#: The opening of each licence's full text, and its usual names. Whole texts are found by their openings.
+NAMES: dict[str, list[str]] = {
+    "Apache-2.0": ["Apache License Version 2.0, January 2004", "Apache License, Version 2.0"],
+    "MIT": ["MIT License", "The MIT License (MIT)", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"],
+    "GPL-3.0-only": ["GNU General Public License Version 3, 29 June 2007"],
+    "GPL-2.0-only": ["GNU General Public License Version 2, June 1991"],
+    "LGPL-2.1-only": ["GNU Lesser General Public License Version 2.1, February 1999"],
+    "LGPL-3.0-only": ["GNU Lesser General Public License Version 3, 29 June 2007"],
+    "AGPL-3.0-only": ["GNU Affero General Public License Version 3, 19 November 2007"],
+    "MPL-2.0": ["Mozilla Public License Version 2.0"],
+    "BSD-2-Clause": ["BSD 2-Clause License"],
+    "BSD-3-Clause": ["BSD 3-Clause License"],
+    "ISC": ["ISC License"],
+    "Unlicense": ["The Unlicense"],
+    "CC0-1.0": ["CC0 1.0 Universal"],
+    "CC-BY-4.0": ["Creative Commons Attribution 4.0 International"],
+    "CC-BY-SA-4.0": ["Creative Commons Attribution-ShareAlike 4.0 International"],
+    "CC-BY-NC-4.0": ["Creative Commons Attribution-NonCommercial 4.0 International"],
+}
+#: Identifiers whose SPDX tag is a template.
+TAGS = sorted({*TEMPLATES, *NAMES, "GPL-3.0-only", "GPL-2.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "AGPL-3.0-only"} - {"LicenseRef-proprietary"})
+ALL = [(s, t) for ts in (TEMPLATES, NAMES, {s: [f"SPDX-License-Identifier: {s}"] for s in TAGS}) for s, x in ts.items() for t in x]
 #: A line with one of these may belong to a licence.
-CUE = r"(?i)licen[sc]e|copyright|all rights reserved|redistribut|spdx|creative commons|permission is hereby granted"
+CUE = r"(?i)licen[sc]e|copyright|all rights reserved|redistribut|spdx|creative commons|permission is hereby granted|hereby granted|public domain|permission to use|free software"
+#: An SPDX tag up to its identifier; tags are passages of their own, as all tags have most words in common.
+TAG = r"(?i)SPDX-License-Identifier:?[ \t]*"
 #: Names of files that speak for their directory.
 LICENSE_FILE = r"(?i)(^|/)(licen[sc]e|copying|unlicense)([.-][a-z0-9.-]*)?$"
 COLUMNS = ["path", "license", "score", "origin", "inherited_from"]
@@ -41,18 +75,40 @@ def terms(text: Column) -> Column:
 
 def templates(spark: SparkSession) -> DataFrame:
     """template, license, term, weight: normalised TF-IDF of each template; a fixed table of a few hundred rows."""
-    rows = spark.createDataFrame([(i, spdx, t) for i, (spdx, t) in enumerate((s, t) for s, ts in TEMPLATES.items() for t in ts)], "template int, license string, text string")
-    n = sum(map(len, TEMPLATES.values()))
+    rows = spark.createDataFrame([(i, spdx, t) for i, (spdx, t) in enumerate(ALL)], "template int, license string, text string")
+    n = len(ALL)
     tf = rows.select("template", "license", F.explode(terms(F.col("text"))).alias("term")).groupBy("template", "license", "term").agg(F.count("*").alias("tf"))
     idf = tf.groupBy("term").agg((F.log(F.lit(1.0 + n) / (1 + F.count("*"))) + 1).alias("idf"))
     raw = tf.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
     return raw.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("template")))).select("template", "license", "term", "idf", (F.col("w") / F.col("norm")).alias("weight"))
 
 
+def passages_of(text: Column) -> Column:
+    """The candidate passages of a text: each line with a cue, alone and with its neighbour; each sentence with a cue from 3
+    lines before to 8 after it (wrapped lines are joined, blank ones end a sentence), alone and with neighbours; the words
+    before and after a cue; SPDX tags. A window chooses what is compared and drops nothing from the other windows."""
+    at = lambda x, i: F.get(x, i)
+    near = lambda x, i, before, after: F.array_join(F.slice(x, F.greatest(i + 1 - before, F.lit(1)), before + 1 + after), "\n")
+    cued = lambda x: F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: at(x, i).rlike(CUE))
+    words = lambda line, before, after: F.regexp_extract_all(line, F.lit(rf"(?:\S+\s+){{0,{before}}}\S*(?:{CUE})\S*(?:\s+\S+){{0,{after}}}"), F.lit(0))
+
+    def around(lines: Column, i: Column) -> Column:
+        sentences = F.split(near(lines, i, 3, 8), r"(?<=[.;!?])\s+|\n[^a-zA-Z0-9\n]*(?=\n)")
+        runs = F.transform(F.array(sentences), lambda s: F.flatten(F.transform(cued(s), lambda j: F.array(at(s, j), near(s, j, 0, 1), near(s, j, 1, 0), near(s, j, 0, 2), near(s, j, 1, 1)))))[0]
+        line = at(lines, i)
+        return F.concat(F.array(line, near(lines, i, 0, 1), near(lines, i, 1, 0)), runs, words(line, 4, 0), words(line, 0, 4), words(line, 0, 6))
+
+    # The text is cut into lines once, and only texts with a cue are looked at more closely.
+    close = F.transform(F.array(F.split(F.regexp_replace(text, rf"{TAG}[A-Za-z0-9.+-]*", " "), "\n")), lambda x: F.flatten(F.transform(cued(x), lambda i: around(x, i))))[0]
+    tags = F.regexp_extract_all(text, F.lit(rf"{TAG}[A-Za-z0-9.+-]+"), F.lit(0))
+    return F.when(text.rlike(CUE), F.array_distinct(F.concat(tags, close))).otherwise(F.array().cast("array<string>"))
+
+
 def scan(files: DataFrame, scratch: Scratch, threshold: float = 0.6, path: str = "path", text: str = "text") -> DataFrame:
     """path, license, score, origin (header, file, inherited or none) and inherited_from of every row.
 
-    Passages are single lines with a cue, whole licence files besides. A term no template has counts for the passage's
+    Passages are those of passages_of, whole licence files besides. Reserved rights count only where no licence is found,
+    as most notices of a licence reserve them first. A term no template has counts for the passage's
     length with the weight of a term in no template. Null and empty texts have no licence of their own and may inherit; a
     null path has no ancestors; repeated rows give repeated results. Ties go to the better score, then the smaller
     identifier. An empty table gives an empty result.
@@ -60,13 +116,12 @@ def scan(files: DataFrame, scratch: Scratch, threshold: float = 0.6, path: str =
     spark = files.sparkSession
     rows = files.select(F.col(path).cast("string").alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     is_file = F.coalesce(F.col("path").rlike(LICENSE_FILE), F.lit(False))
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(CUE))
-    passages = F.array_distinct(F.concat(lines, F.when(is_file, F.array("text")).otherwise(F.array().cast("array<string>"))))
-    # Few lines hold a cue, and equal ones are looked at once.
+    passages = F.array_distinct(F.concat(passages_of(F.col("text")), F.when(is_file, F.array("text")).otherwise(F.array().cast("array<string>"))))
+    # Few lines hold a cue, and equal passages are looked at once.
     found = rows.select(F.explode(passages).alias("passage")).distinct()
     known = templates(spark)
     vocabulary = known.select("term", "idf").distinct()
-    unseen = 1.0 + math.log(1.0 + sum(map(len, TEMPLATES.values())))
+    unseen = 1.0 + math.log(1.0 + len(ALL))
     tf = found.select("passage", F.explode(terms(F.col("passage"))).alias("term")).groupBy("passage", "term").agg(F.count("*").alias("tf"))
     weighed = tf.join(F.broadcast(vocabulary), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unseen)))
     norms = weighed.groupBy("passage").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
@@ -75,7 +130,7 @@ def scan(files: DataFrame, scratch: Scratch, threshold: float = 0.6, path: str =
     best = scored.groupBy("passage").agg(F.max_by(F.struct("license", "score"), F.struct("score", -F.col("template"))).alias("m")).select("passage", "m.license", "m.score")
     # Each row takes the best of its passages.
     tagged = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "path", is_file.alias("is_file"), F.explode_outer(passages).alias("passage"))
-    own = scratch.keep(tagged.join(best, "passage", "left").groupBy("row", "path", "is_file").agg(F.max(F.when(F.col("license").isNotNull(), F.struct("score", "license"))).alias("m")).select("path", "is_file", "m.license", "m.score"))
+    own = scratch.keep(tagged.join(best, "passage", "left").groupBy("row", "path", "is_file").agg(F.max(F.when(F.col("license").isNotNull(), F.struct((F.col("license") != "LicenseRef-proprietary").alias("named"), "score", "license"))).alias("m")).select("path", "is_file", "m.license", "m.score"))
     # Directories that a licence file speaks for, one row each, meet the prefixes of paths without a licence.
     folder = F.regexp_replace("path", "/?[^/]*$", "")
     speaks = own.where("is_file and license is not null").groupBy(folder.alias("dir")).agg(F.max(F.struct("score", "license", "path")).alias("f")).select("dir", "f.license", "f.score", F.col("f.path").alias("inherited_from"))

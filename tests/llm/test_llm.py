@@ -292,6 +292,28 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0), Scratch(spark)).count() == 0
 
 
+def test_license_passages(spark):
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\nimport os\n"
+    mit = "MIT License\n\nCopyright (c) 2020 A. Author. All rights reserved.\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice ..."
+    files = {
+        "spdx.c": ("/* SPDX-License-Identifier: MIT */ int x;", "MIT"),
+        "spdx.py": ("#!x\n# SPDX-License-Identifier: Apache-2.0\nimport os", "Apache-2.0"),
+        "spdx.x": ("// SPDX-License-Identifier: Foo-7.0", None),
+        "two.py": ("# Released under the MIT License. Copyright 2020 The Project Authors and contributors to this repository.", "MIT"),
+        "name.txt": ("MIT License", "MIT"),
+        "gpl.py": (gpl, "GPL-3.0-or-later"),
+        "gpl2.c": (gpl.replace("version 3", "version 2").replace("software:", "software;"), "GPL-2.0-or-later"),
+        "apache.c": (" * Licensed under the Apache License,\n * Version 2.0 (the \"License\"); you may not use this file\n * except in compliance with the License.\n", "Apache-2.0"),
+        "inline.md": ("Our tool, which many people like to use and extend, is free and released under the MIT License so that all may share what they make of it", "MIT"),
+        "q/LICENSE": (mit, "MIT"),
+        "own.c": ("Copyright 2020 X. All rights reserved.", "LicenseRef-proprietary"),
+        "prose.txt": ("She had a licence to sell fish. The copyright office was closed and nobody came.", None),
+    }
+    df = spark.createDataFrame([(p, t) for p, (t, _) in files.items()], "path string, text string")
+    got = {r["path"]: r["license"] for r in licenses.scan(df, Scratch(spark)).collect()}
+    assert got == {p: x for p, (_, x) in files.items()}
+
+
 def test_pipeline_runs(spark):
     import corpus_pipeline
 
