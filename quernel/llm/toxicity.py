@@ -176,13 +176,14 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, text: str = "tex
 
 def score(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, text: str = "text") -> DataFrame:
     """doc_id, held_out, score and predicted of every row. A null or empty text matches nothing and gets the score of no
-    match; repeated rows give repeated results; without labels every score is 0.5; other columns are ignored."""
+    match; repeated rows give repeated results; without labels every score is 0.5 and, as nothing speaks for
+    toxic, every prediction 0; other columns are ignored."""
     learned, weights = fit(docs, labels, most, text)
 
     def run(batch: pa.RecordBatch) -> dict:
         z = scaled(np.array([_grammar(learned).features(t) for t in batch.column(1).to_pylist()])) @ np.array(weights) if batch.num_rows else np.empty(0)
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        return {"doc_id": batch.column(0), "held_out": batch.column(2), "score": p, "predicted": (p >= 0.5).astype(np.int32)}
+        return {"doc_id": batch.column(0), "held_out": batch.column(2), "score": p, "predicted": (z > 0).astype(np.int32)}
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     return map_rows(rows.withColumn("h", held_out(F.col("doc_id"), 5, 0)), run, "doc_id bigint, held_out boolean, score double, predicted int")
@@ -199,6 +200,6 @@ def flagged(docs: DataFrame, labels: DataFrame, text: str = "text", most: int =
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 z = scaled(np.array([_grammar(learned).features(t) for t in part.column(part.num_columns - 1).to_pylist()])) @ np.array(weights)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array((z >= 0).astype(np.int32))], names=[*names, "_toxic"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array((z > 0).astype(np.int32))], names=[*names, "_toxic"])
 
     return rows.mapInArrow(run, StructType([*docs.schema.fields, StructField("_toxic", IntegerType())]))

@@ -203,6 +203,13 @@ def test_toxicity(spark):
     assert {r["score"] for r in toxicity.score(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_toxicity_without_labels(spark):
+    docs = docs_of(spark, [(1, "fine weather"), (2, "you idiot"), (3, None)])
+    labels = spark.createDataFrame([], LABELS)
+    assert toxicity.flagged(docs, labels).where("_toxic = 0").count() == 3
+    assert {r["predicted"] for r in toxicity.score(docs, labels).collect()} == {0}
+
+
 def test_grammar_events():
     g = toxicity.Grammar({"grobnik": 2.0})
     events = lambda t: dict(zip(toxicity.EVENTS, g.features(t), strict=False))
