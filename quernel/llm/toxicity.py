@@ -6,7 +6,8 @@ negation covers the few words after a negating one; reported speech covers the r
 The event carries what the others say at that word. Beside the fixed word lists, which cover some languages only, the insult transducer has
 a third list with weights, learned from the labelled sample: words and word beginnings that toxic documents hold many
 times as often as clean ones. A clause's events are its match; a document is scored by a logistic
-weight for each kind of event, learned from labels, so that matched clauses count and isolated words elsewhere do not.
+weight for each kind of event, learned from labels. Beside the events, the number and summed weight of a document's learned
+words are features of their own, which bypass the grammar: isolated words score there, quoted and negated ones in full.
 """
 
 from __future__ import annotations
