@@ -5,6 +5,10 @@ each piece is reached by merging its own symbols and each adjacent pair of piece
 the two pieces' symbols together gives the two pieces back. All adjacent pairs of a batch's new words are tested at
 once: their codes are made unique, looked up in a sorted table of known verdicts, and only unknown pairs are merged.
 Words with an incompatible pair (or an unreachable piece) alone go through exact merging.
+
+Texts are cut at ASCII white space, which no word reaches across, and a batch's distinct chunks are encoded once; what a text
+holds is then taken from them by their numbers, as one range of bytes. Chunks, words and their codes lie in Arrow arrays, so
+what a worker remembers takes some tens of bytes each.
 """
 
 from __future__ import annotations
@@ -17,15 +21,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
 from .common import map_rows, tokenizer_file
+from .shingles import slices
 
 _FAR = 1 << 60
 #: The step of the trie that ends a word, after the 256 bytes.
 _END = 256
-_ODD = regex.compile("[\\x1c-\\x1f]")
+#: Letters of a part of a batch that is encoded at once, about, and those of words that are handled many in step, at most.
+PART, SHORT = 4_000_000, 64
 
 
 def byte_letters() -> list[str]:
@@ -39,10 +46,89 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+def binary(offsets: np.ndarray, data: pa.Buffer | bytes) -> pa.Array:
+    """Byte strings between neighbouring offsets of the data."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), data if isinstance(data, pa.Buffer) else pa.py_buffer(data)])
+
+
+def ranges(taken: pa.Array) -> tuple[np.ndarray, pa.Buffer]:
+    """Offsets and data of an array of byte strings that starts at its buffers' start."""
+    buffers = taken.buffers()
+    return (np.frombuffer(buffers[1], np.int64, len(taken) + 1) if buffers[1] is not None and buffers[1].size else np.zeros(1, np.int64)), buffers[2] if buffers[2] is not None else pa.py_buffer(b"")
+
+
+class PairTable:
+    """Places of distinct codes, found by open addressing, many at once."""
+
+    def __init__(self, codes: np.ndarray):
+        self.bits = max(4, int(len(codes) * 4).bit_length())
+        self.codes, self.places = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int64)
+        left, at = np.arange(len(codes)), self.home(codes)
+        while len(left):
+            first = np.unique(at, return_index=True)[1]
+            first = first[self.codes[at[first]] < 0]
+            self.codes[at[first]], self.places[at[first]] = codes[left[first]], left[first]
+            stays = np.ones(len(left), bool)
+            stays[first] = False
+            left, at = left[stays], (at[stays] + 1) & (len(self.codes) - 1)
+
+    def home(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        """The place of each code, -1 for unknown ones."""
+        flat = codes.ravel()
+        at = self.home(flat)
+        met = self.codes[at]
+        out = np.where(met == flat, self.places[at], -1)
+        left = np.flatnonzero((met != flat) & (met >= 0))
+        while len(left):
+            at[left] = (at[left] + 1) & (len(self.codes) - 1)
+            met, asked = self.codes[at[left]], flat[left]
+            same = met == asked
+            out[left[same]] = self.places[at[left[same]]]
+            left = left[~same & (met >= 0)]
+        return out.reshape(codes.shape)
+
+
+class Remembered:
+    """Codes and decoded text of texts met before: at most about `most`; a full store keeps what was met again."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.codes, self.words, self.again = pa.array([], pa.string()), binary(np.zeros(1), b""), binary(np.zeros(1), b""), np.zeros(0, bool)
+
+    def of(self, keys: pa.Array, learn) -> tuple[pa.Array, pa.Array]:  # noqa: ANN001
+        """Codes and decoded text of distinct keys; learn gives those of the new ones."""
+        at = pc.index_in(keys, value_set=self.keys).fill_null(-1).to_numpy().astype(np.int64)
+        fresh = at < 0
+        self.again[at[~fresh]] = True
+        if fresh.any():
+            new = keys.filter(pa.array(fresh))
+            if len(self.keys) + len(new) > self.most:
+                kept = self.again.copy()
+                if kept.sum() > self.most // 2:
+                    kept[:] = False
+                kept[at[~fresh]] = True
+                place = np.cumsum(kept) - 1
+                at[~fresh] = place[at[~fresh]]
+                mask = pa.array(kept)
+                self.keys, self.codes, self.words, self.again = self.keys.filter(mask), self.codes.filter(mask), self.words.filter(mask), np.zeros(int(kept.sum()), bool)
+            codes, words = learn(new)
+            at[fresh] = len(self.keys) + np.arange(len(new))
+            self.keys, self.codes, self.words = (pa.concat_arrays(x) for x in ([self.keys, new], [self.codes, codes], [self.words, words]))
+            self.again = np.concatenate([self.again, np.zeros(len(new), bool)])
+        return self.codes.take(pa.array(at)), self.words.take(pa.array(at))
+
+
 class WordBPE:
     """A tokenizer file with word ends: NFC, white space, lower case, a split into words, byte letters, merges."""
 
-    CACHE = 400_000
+    #: Chunks and words that are remembered, at most, each, and pairs with a known verdict.
+    CACHE, PAIRS = 300_000, 500_000
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -52,8 +138,8 @@ class WordBPE:
         self.vocab: dict[str, int] = model["vocab"]
         self.special: dict[str, int] = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
-        pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
+        pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split").replace(r"\s", r"\p{White_Space}")
+        self.words, self.lines = regex.compile(pattern), regex.compile(rf"{pattern}|\n")
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.letters = byte_letters()
         self.bytes_of = {c: b for b, c in enumerate(self.letters)}
@@ -66,10 +152,7 @@ class WordBPE:
         plain = len(self.end)
         self.letter_ids = np.array([self.vocab[c] for c in self.letters], np.int64)
         self.last_ids = np.array([self.vocab[c + self.end] for c in self.letters], np.int64)
-        codes = np.array([(a << 32) | b for a, b in self.ranks], np.int64)
-        order = np.argsort(codes)
-        self.pair_codes, self.pair_ranks = codes[order], order.astype(np.int64)
-        self.made_ids = np.array(self.made, np.int64)
+        self.pairs, self.made_ids = PairTable(np.array([(a << 32) | b for a, b in self.ranks], np.int64)), np.array(self.made, np.int64)
         nodes, accepts = {(0, 0): 0}, [-1]  # (node, byte or _END) -> node; the token that ends at a node
         for token, i in self.vocab.items():
             ends, node = plain and token.endswith(self.end) and len(token) > plain, 0
@@ -80,29 +163,23 @@ class WordBPE:
                     accepts.append(-1)
             accepts[node] = i
         del nodes[0, 0]
-        steps = np.array([(n << 9) | (c - 1) for n, c in nodes], np.int64)
-        order = np.argsort(steps)
-        self.steps, self.targets, self.accepts = steps[order], np.array(list(nodes.values()), np.int64)[order], np.array(accepts, np.int64)
+        self.walk = {(n << 9) | (c - 1): to for (n, c), to in nodes.items()}
+        self.steps, self.targets, self.accepts = PairTable(np.array(list(self.walk), np.int64)), np.array(list(self.walk.values()), np.int64), np.array(accepts, np.int64)
         size = max(self.names) + 1
-        self.reachable = np.zeros(size, bool)
-        self.checked = np.zeros(size, bool)
+        named = [f"{self.names[i]} ".encode() if i in self.names else b"" for i in range(size)]
+        self.spelling = binary(np.concatenate([[0], np.cumsum([len(x) for x in named])]), b"".join(named))
+        self.reachable, self.checked = np.zeros(size, bool), np.zeros(size, bool)
         self.codes, self.verdicts = np.empty(0, np.int64), np.empty(0, bool)
-        self.known: dict[str, tuple[bytes, str]] = {}
-        self.cache: dict[str, tuple[bytes, str]] = {}
+        self.known, self.cache = Remembered(self.CACHE), Remembered(self.CACHE)
 
     # -- exact merging ------------------------------------------------------------------------------------------------
-    def symbols(self, word: str) -> list[int]:
-        """Ids of the word's byte letters; the last one carries the word end."""
-        raw = np.frombuffer(word.encode("utf-8"), np.uint8)
-        return [*self.letter_ids[raw[:-1]].tolist(), int(self.last_ids[raw[-1]])]
-
     def merge(self, ids: list[int]) -> list[int]:
         """Merge the pair of lowest rank, the leftmost first, until no pair can be merged."""
         if len(ids) < 2:
             return ids
         ids, ranks, made = list(ids), self.ranks, self.made
         near = [ranks.get(p, _FAR) for p in zip(ids, ids[1:], strict=False)]
-        if len(ids) <= 64:
+        if len(ids) <= SHORT:
             while near and (best := min(near)) < _FAR:
                 i = near.index(best)
                 ids[i : i + 2] = [made[best]]
@@ -129,6 +206,40 @@ class WordBPE:
                     heapq.heappush(heap, (r, left, ids[left], ids[right]))
         return [x for x in ids if x >= 0]
 
+    def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        at = self.pairs.find((left << 32) | right)
+        return np.where(at >= 0, at, _FAR)
+
+    def merge_rows(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exact merging of short sequences in step, each a row that ends in -1s: the row and the id of every token left, in
+        order within a row."""
+        owners, found = [], []
+        rows = np.arange(len(ids))
+        near = np.where(ids[:, 1:] >= 0, self.rank_of(ids[:, :-1], ids[:, 1:]), _FAR)
+        while len(rows):
+            best = near.min(axis=1) if near.shape[1] else np.full(len(rows), _FAR)
+            go = best < _FAR
+            if not go.all():
+                done = ids[~go]
+                row, col = np.nonzero(done >= 0)
+                owners.append(rows[~go][row])
+                found.append(done[row, col])
+                rows, ids, near, best = rows[go], ids[go], near[go], best[go]
+                if not len(rows):
+                    break
+            i, r = near.argmin(axis=1), np.arange(len(rows))
+            ids[r, i] = self.made_ids[best]
+            cols = np.arange(ids.shape[1] - 1)
+            ids = np.take_along_axis(ids, cols + (cols > i[:, None]), axis=1)
+            cols = cols[:-1]
+            near = np.take_along_axis(near, cols + (cols >= i[:, None]), axis=1)
+            for at in (i - 1, i):
+                k = np.flatnonzero((at >= 0) & (at < near.shape[1]))
+                a = at[k]
+                right = ids[k, a + 1]
+                near[k, a] = np.where(right >= 0, self.rank_of(ids[k, a], right), _FAR)
+        return np.concatenate([np.empty(0, np.int64), *owners]), np.concatenate([np.empty(0, np.int64), *found])
+
     def spelled(self, token: int) -> list[int]:
         """Ids of the letters that a token spells."""
         name = self.names[token]
@@ -149,9 +260,8 @@ class WordBPE:
         owners, found, lost = [], [], []
         n = lengths + (1 if self.end else 0)
         while len(rows):
-            key = (node << 9) | full[rows, np.minimum(here, n - 1)]
-            at = np.minimum(np.searchsorted(self.steps, key), len(self.steps) - 1)
-            moves = (self.steps[at] == key) & (here < n)
+            at = self.steps.find((node << 9) | full[rows, np.minimum(here, n - 1)])
+            moves = (at >= 0) & (here < n)
             node = np.where(moves, self.targets[at], 0)
             here = here + moves
             ok = moves & (self.accepts[node] >= 0) & ((here != n - 1) if self.end else True)
@@ -170,103 +280,107 @@ class WordBPE:
         order = np.argsort(owner, kind="stable")
         return owner[order], piece[order], np.concatenate([np.empty(0, np.int64), *lost])
 
-    def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        code = (left << 32) | right
-        at = np.minimum(np.searchsorted(self.pair_codes, code), len(self.pair_codes) - 1)
-        return np.where(self.pair_codes[at] == code, self.pair_ranks[at], _FAR)
-
-    def merge_all(self, sequences: list[list[int]]) -> list[list[int]]:
-        """Exact merging of many short sequences in step; long ones go through merge() one by one."""
-        out: list[list[int]] = [[]] * len(sequences)
-        groups: dict[int, list[int]] = {}
-        for i, x in enumerate(sequences):
-            if len(x) > 64:
-                out[i] = self.merge(x)
-            else:
-                groups.setdefault(8 if len(x) <= 8 else 16 if len(x) <= 16 else 64, []).append(i)
-        for width, members in groups.items():
-            for part in range(0, len(members), 20_000):
-                rows = np.array(members[part : part + 20_000])
-                ids = np.full((len(rows), width), -1, np.int64)
-                for r, i in enumerate(rows):
-                    ids[r, : len(sequences[i])] = sequences[i]
-                near = np.where(ids[:, 1:] >= 0, self.rank_of(ids[:, :-1], ids[:, 1:]), _FAR)
-                while len(rows):
-                    best = near.min(axis=1)
-                    for r in np.flatnonzero(best == _FAR):
-                        out[rows[r]] = ids[r][ids[r] >= 0].tolist()
-                    go = best < _FAR
-                    rows, ids, near, best = rows[go], ids[go], near[go], best[go]
-                    if not len(rows):
-                        break
-                    i, r = near.argmin(axis=1), np.arange(len(rows))
-                    ids[r, i] = self.made_ids[best]
-                    cols = np.arange(ids.shape[1] - 1)
-                    ids = np.take_along_axis(ids, cols + (cols > i[:, None]), axis=1)
-                    if ids.shape[1] < 2:
-                        near = np.full((len(rows), 1), _FAR)
-                        continue
-                    cols = cols[:-1]
-                    near = np.take_along_axis(near, cols + (cols >= i[:, None]), axis=1)
-                    for at in (i - 1, i):
-                        k = np.flatnonzero((at >= 0) & (at < near.shape[1]))
-                        a = at[k]
-                        right = ids[k, a + 1]
-                        near[k, a] = np.where(right >= 0, self.rank_of(ids[k, a], right), _FAR)
+    def propose_long(self, word: bytes) -> list[int] | None:
+        """The same cut of one long word."""
+        full, here, out = [*word, *[_END] * bool(self.end)], 0, []
+        while here < len(full):
+            node, token, stop = 0, -1, here
+            for at in range(here, len(full)):
+                if (node := self.walk.get((node << 9) | full[at], -1)) < 0:
+                    break
+                if self.accepts[node] >= 0 and not (self.end and at + 2 == len(full)):
+                    token, stop = int(self.accepts[node]), at + 1
+            if token < 0:
+                return None
+            out.append(token)
+            here = stop
         return out
 
     def compatible(self, pairs: np.ndarray) -> np.ndarray:
         """A verdict for each code (left << 32 | right); known ones are looked up together, new ones merged once."""
         distinct, back = np.unique(pairs, return_inverse=True)
-        if len(self.codes) > 2_000_000:
+        if len(self.codes) > self.PAIRS:
             self.codes, self.verdicts = self.codes[:0], self.verdicts[:0]
         at = np.searchsorted(self.codes, distinct)
         known = at < len(self.codes)
         known[known] = self.codes[at[known]] == distinct[known]
         if not known.all():
             fresh = distinct[~known]
-            pieces = [[int(c >> 32), int(c & 0xFFFFFFFF)] for c in fresh]
-            good = np.array([a == b for a, b in zip(self.merge_all([[*self.spelled(a), *self.spelled(b)] for a, b in pieces]), pieces, strict=True)], bool)
+            good, rows = np.zeros(len(fresh), bool), []
+            groups: dict[int, list[int]] = {}
+            for i, c in enumerate(fresh.tolist()):
+                a, b = c >> 32, c & 0xFFFFFFFF
+                rows.append([*self.spelled(a), *self.spelled(b)])
+                n = len(rows[-1])
+                if n > SHORT:
+                    good[i] = self.merge(rows[-1]) == [a, b]
+                else:
+                    groups.setdefault(8 if n <= 8 else 16 if n <= 16 else SHORT, []).append(i)
+            for width, members in groups.items():
+                owner, ids = self.merge_rows(np.array([rows[i] + [-1] * (width - len(rows[i])) for i in members], np.int64))
+                order = np.argsort(owner, kind="stable")
+                owner, ids = owner[order], ids[order]
+                two = np.bincount(owner, minlength=len(members)) == 2
+                first = np.searchsorted(owner, np.flatnonzero(two))
+                good[np.array(members)[two]] = (ids[first] << 32 | ids[first + 1]) == fresh[np.array(members)[two]]
             codes = np.concatenate([self.codes, fresh])
             order = np.argsort(codes, kind="stable")
             self.codes, self.verdicts = codes[order], np.concatenate([self.verdicts, good])[order]
             at = np.searchsorted(self.codes, distinct)
         return self.verdicts[at][back]
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word: proposals that pass every test, exact merging for the rest."""
-        out: list[list[int]] = [[]] * len(words)
-        raw = [w.encode("utf-8") for w in words]
-        again: list[int] = []
-        groups: dict[int, list[int]] = {}
-        for i, w in enumerate(raw):
-            if len(w) > 64:
-                again.append(i)
-            else:
-                groups.setdefault(8 if len(w) <= 8 else 16 if len(w) <= 16 else 64, []).append(i)
-        for width, members in groups.items():
+    def verified(self, owner: np.ndarray, piece: np.ndarray, count: int) -> np.ndarray:
+        """Whether each of `count` words (the owners of the pieces, in order) is what merging gives: all its pieces can be
+        reached, and all its adjacent pairs are compatible."""
+        good = np.ones(count, bool)
+        for t in np.unique(piece[~self.checked[piece]]):
+            self.reachable[t], self.checked[t] = self.merge(self.spelled(int(t))) == [int(t)], True
+        good[owner[~self.reachable[piece]]] = False
+        inner = np.flatnonzero(owner[:-1] == owner[1:])
+        if len(inner):
+            good[owner[inner[~self.compatible((piece[inner] << 32) | piece[inner + 1])]]] = False
+        return good
+
+    def encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one after the other, and where each word's begin (one more entry at the end): proposals that pass
+        every test, exact merging for the rest. Words of up to SHORT bytes are proposed for and merged many in step, longer
+        ones one by one; all are tested the same way."""
+        bounds, data = ranges(words.cast(pa.large_binary()))
+        letters, lengths = np.frombuffer(data, np.uint8), np.diff(bounds)
+        owners, found = [], []
+        done = 0
+        for width in (8, 12, 16, 24, SHORT):
+            members = np.flatnonzero((lengths > done) & (lengths <= width))
+            done = width
             for at in range(0, len(members), 20_000):
                 part = members[at : at + 20_000]
-                letters = np.frombuffer(b"".join([raw[i].ljust(width, b"\0") for i in part]), np.uint8).reshape(len(part), width)
-                owner, piece, lost = self.propose(letters, np.array([len(raw[i]) for i in part]))
-                for t in np.unique(piece[~self.checked[piece]]):
-                    self.reachable[t], self.checked[t] = self.merge(self.spelled(int(t))) == [int(t)], True
-                failed = np.zeros(len(part), bool)
-                failed[lost] = True
-                failed[owner[~self.reachable[piece]]] = True
-                inner = np.flatnonzero(owner[:-1] == owner[1:])
-                if len(inner):
-                    failed[owner[inner[~self.compatible((piece[inner] << 32) | piece[inner + 1])]]] = True
-                first = np.searchsorted(owner, np.arange(len(part) + 1))
-                ids = piece.tolist()
-                for r, i in enumerate(part):
-                    if failed[r]:
-                        again.append(i)
-                    else:
-                        out[i] = ids[first[r] : first[r + 1]]
-        for i, ids in zip(again, self.merge_all([self.symbols(words[i]) for i in again]), strict=True):
-            out[i] = ids
-        return out
+                n = lengths[part]
+                cols = np.arange(width)
+                inside = cols < n[:, None]
+                table = np.where(inside, letters[np.where(inside, bounds[part][:, None] + cols, 0)], 0)
+                owner, piece, lost = self.propose(table, n)
+                good = self.verified(owner, piece, len(part))
+                good[lost] = False
+                keep = good[owner]
+                owners.append(part[owner[keep]])
+                found.append(piece[keep])
+                again = np.flatnonzero(~good)
+                if len(again):
+                    symbols = np.where(inside[again], self.letter_ids[table[again]], -1)
+                    symbols[np.arange(len(again)), n[again] - 1] = self.last_ids[table[again, n[again] - 1]]
+                    row, ids = self.merge_rows(symbols)
+                    owners.append(part[again[row]])
+                    found.append(ids)
+        for i in np.flatnonzero(lengths > SHORT).tolist():
+            word = letters[bounds[i] : bounds[i + 1]]
+            ids = self.propose_long(word.tobytes())
+            if ids is None or not self.verified(np.zeros(len(ids), np.int64), np.array(ids, np.int64), 1)[0]:
+                ids = self.merge([*self.letter_ids[word[:-1]].tolist(), int(self.last_ids[word[-1]])])
+            owners.append(np.full(len(ids), i))
+            found.append(np.array(ids, np.int64))
+        owner, ids = np.concatenate([np.empty(0, np.int64), *owners]), np.concatenate([np.empty(0, np.int64), *found])
+        order = np.argsort(owner, kind="stable")
+        return ids[order], np.searchsorted(owner[order], np.arange(len(words) + 1))
 
     # -- texts --------------------------------------------------------------------------------------------------------
     def pieces(self, text: str) -> list[str]:
@@ -281,47 +395,52 @@ class WordBPE:
                 out += self.words.findall(low)
         return out
 
-    def learn(self, chunks: set[str]) -> None:
-        """Put the ids (as little-endian bytes) and the decoded text of new chunks between white space in the cache."""
-        if len(self.cache) > self.CACHE:
-            self.cache = {}
-        split = {c: self.pieces(c) for c in chunks if c not in self.cache}
-        if len(self.known) > self.CACHE:
-            self.known = {}
-        new = list({w for words in split.values() for w in words if w not in self.known and w not in self.special})
-        for word, ids in zip(new, self.encode_words(new), strict=True):
-            self.known[word] = (np.array(ids, "<u4").tobytes(), self.decode(ids))
+    def learn_words(self, words: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Ids (as little-endian bytes) and decoded text (each token with a space after it) of each word; a line end has none."""
+        ids, first = self.encode_words(pc.if_else(pc.equal(words, "\n"), "", words))
         for token, i in self.special.items():
-            self.known[token] = (np.array([i], "<u4").tobytes(), self.decode([i]))
-        for chunk, words in split.items():
-            if len(words) == 1:
-                self.cache[chunk] = self.known[words[0]]
-            else:
-                found = [self.known[w] for w in words]
-                self.cache[chunk] = (b"".join([x[0] for x in found]), " ".join([x[1] for x in found]))
-
-    @staticmethod
-    def chunks(text: str) -> list[str]:
-        """The text between white space, where no word of the tokenizer reaches across. str.split() also splits at the
-        separators U+001C to U+001F, which are no white space for the tokenizer: such a text stays in one chunk."""
-        return [text] if _ODD.search(text) else text.split()
-
-    def codes_of(self, chunks: list[str]) -> tuple[bytes, str]:
-        """Ids and decoded text of a text's chunks, all in the cache."""
-        found = [x for x in map(self.cache.__getitem__, chunks) if x[0]]
-        return b"".join([x[0] for x in found]), " ".join([x[1] for x in found])
+            if (at := pc.index(words, token).as_py()) >= 0:
+                ids, first = np.concatenate([ids[: first[at]], [i], ids[first[at + 1] :]]), np.concatenate([first[: at + 1], first[at + 1 :] + 1 - (first[at + 1] - first[at])])
+        bounds, data = ranges(self.spelling.take(pa.array(ids)))
+        return binary(4 * first, ids.astype("<u4").tobytes()), binary(bounds[first], data)
+
+    def learn_chunks(self, chunks: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """The same of chunks between white space. All are cut into words in one pass, a line for each; those with special
+        tokens are cut on their own."""
+        rows = chunks.to_pylist()
+        odd = {i: self.pieces(c) for i, c in enumerate(rows) if "<|" in c}
+        blob = unicodedata.normalize("NFC", "\n".join([c if i not in odd else "" for i, c in enumerate(rows)] if odd else rows) + "\n")
+        words = self.lines.findall("".join(map(str.lower, blob)) if "Σ" in blob else blob.lower())
+        if odd:
+            ends = [k for k, w in enumerate(words) if w == "\n"]
+            for i in sorted(odd, reverse=True):
+                words[ends[i] : ends[i]] = odd[i]
+        coded = pa.array(words, pa.string()).dictionary_encode()
+        line = pc.index(coded.dictionary, "\n").as_py()
+        ends = np.flatnonzero(coded.indices.to_numpy() == line)
+        out = []
+        for x in self.known.of(coded.dictionary, self.learn_words):
+            bounds, data = ranges(x.take(coded.indices))
+            out.append(binary(np.concatenate([[0], bounds[ends]]), data))
+        return out[0], out[1]
+
+    def encode_texts(self, texts: pa.Array) -> list[tuple[bytes, bytes]]:
+        """Ids (as little-endian bytes) and decoded text (in UTF-8) of each text."""
+        lists = pc.ascii_split_whitespace(texts.fill_null(""))
+        first = lists.offsets.to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        (a, codes), (b, words) = (ranges(x.take(coded.indices)) for x in self.cache.of(coded.dictionary, self.learn_chunks))
+        return [(codes[i:j].to_pybytes(), words[k : max(k, m - 1)].to_pybytes()) for i, j, k, m in zip(a[first[:-1]].tolist(), a[first[1:]].tolist(), b[first[:-1]].tolist(), b[first[1:]].tolist(), strict=True)]
 
     def decode(self, ids: list[int]) -> str:
         """The file names no decoder, so the tokens are joined by one space; unknown ids are left out."""
         return " ".join(self.names[i] for i in ids if i in self.names)
 
     def encode(self, text: str) -> list[int]:
-        chunks = self.chunks(text)
-        self.learn(set(chunks))
-        return np.frombuffer(self.codes_of(chunks)[0], "<u4").tolist()
+        return np.frombuffer(self.encode_texts(pa.array([text], pa.string()))[0][0], "<u4").tolist()
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def loaded(path: str) -> WordBPE:
     return WordBPE(path)
 
@@ -330,29 +449,26 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: bo
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row, and with ids=True the ids themselves.
 
     A null text counts as empty: no tokens and the digests of no bytes. Repeated rows give repeated results; other
-    columns are ignored. One row's text is held whole, however long; a worker's cache of words is bounded.
+    columns are ignored; an empty table gives an empty result. One row's text is held whole, however long; what a worker
+    remembers of words is bounded.
     """
     path = path or tokenizer_file()
 
     def run(batch: pa.RecordBatch) -> dict:
-        bpe = loaded(path)
-        split = [bpe.chunks(t) if t else [] for t in batch.column(1).to_pylist()]
+        bpe, texts = loaded(path), batch.column(1)
         counts, id_sums, text_sums, raw = [], [], [], []
-        for at in range(0, len(split), 64):
-            part = split[at : at + 64]
-            bpe.learn(set().union(*part))
-            for chunks in part:
-                code, text = bpe.codes_of(chunks)
+        for a, b in slices(pc.binary_length(texts).fill_null(0).to_pylist(), PART):
+            for code, words in bpe.encode_texts(texts.slice(a, b - a)):
                 counts.append(len(code) // 4)
                 id_sums.append(hashlib.sha256(code).hexdigest())
-                text_sums.append(hashlib.sha256(text.encode("utf-8")).hexdigest())
+                text_sums.append(hashlib.sha256(words).hexdigest())
                 if ids:
                     raw.append(np.frombuffer(code, "<u4").astype(np.int32))
         out = {"doc_id": batch.column(0), "n": counts, "i": id_sums, "d": text_sums}
         return out | {"ids": raw} if ids else out
 
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
-    return map_rows(docs.select(docs["doc_id"].cast("bigint"), docs[text]), run, schema)
+    return map_rows(docs.select(docs["doc_id"].cast("bigint"), docs[text].cast("string")), run, schema)
 
 
 def decode(rows: DataFrame, path: str | None = None) -> DataFrame:

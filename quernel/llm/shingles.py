@@ -59,11 +59,11 @@ def shingle_sets(texts: list[str | None], n: int = 5) -> list[np.ndarray]:
     return out
 
 
-def slices(texts: list[str | None], most: int = 1_000_000) -> list[tuple[int, int]]:
-    """Ranges of texts of about `most` letters together, at least one text each."""
+def slices(texts: list[str | None] | list[int], most: int = 1_000_000) -> list[tuple[int, int]]:
+    """Ranges of texts (or of their lengths) of about `most` letters together, at least one text each."""
     out, at, size = [], 0, 0
     for i, t in enumerate(texts):
-        size += len(t or "") + 1
+        size += (t if isinstance(t, int) else len(t or "")) + 1
         if size >= most:
             out.append((at, i + 1))
             at, size = i + 1, 0
