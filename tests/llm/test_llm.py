@@ -270,8 +270,10 @@ def test_html():
 def test_html_teaser():
     body = "<p>The page's main text lies in a plain element and goes on for much longer than the card.</p>" * 4
     got = html.main_text(f"<div>{body}</div><article><h3>Teaser</h3><p>A card.</p></article>")
-    assert got.startswith("The page's main text") and got.count("much longer") == 4
-    assert html.main_text(f"<div>menu</div><main>{body}</main>").count("much longer") == 4 and "menu" not in html.main_text(f"<div>menu</div><main>{body}</main>")
+    assert got.startswith("The page's main text") and got.count("much longer") == 4 and "card." not in got.replace("the card.", "")
+    marked = html.main_text(f"<div>menu</div><main>{body}</main>")
+    assert marked.count("much longer") == 4 and "menu" not in marked
+    assert html.main_text(f"<main><p>intro</p></main><div>{body}</div>").startswith("The page's")
 
 
 def test_html_box_in_mid_article():
@@ -282,6 +284,42 @@ def test_html_box_in_mid_article():
             assert got.count("first part") == 6 and got.count("second part") == 3 and " b " not in got, box
 
 
+def test_html_without_marks():
+    """Menus, link lists and copyright lines in plain elements fall outside surge and dive; both parts of a parted text stay."""
+    body = "<p>A sentence that goes on for long enough to count as text of the article.</p>" * 3
+    page = f'<body><div><div><a href="/">Home</a></div><div><a href="/a">About us</a></div></div><div><div><h1>Title</h1>{body}<table><tr><td>cell</table>{body}</div></div><div><div></div><hr></div><div><div><div>{body}</div></div></div><div><div></div></div><div><div>(c) 2020</div></div>'
+    got = html.main_text(page)
+    assert got.startswith("Title A sentence") and got.count("goes on") == 9 and "cell" in got and "Home" not in got and "2020" not in got
+
+
+def test_html_stretches_against_brute_force():
+    rng = random.Random(8)
+    for _ in range(300):
+        weights = [rng.choice([0, 0, 0, 1, 40, 90]) for _ in range(rng.randrange(1, 30))]
+        window = rng.randrange(1, 6)
+        sums = [sum(weights[i : i + window]) for i in range(len(weights))]
+        want, i = [], 0
+        while i < len(sums):
+            j = i
+            while j < len(sums) and sums[j] > 0:
+                j += 1
+            if j > i:
+                want.append((i, j, max(sums[i:j]), sum(weights[i:j])))
+            i = max(i + 1, j)
+        assert html.stretches(np.array(weights, float), window) == want
+
+
+@pytest.mark.parametrize("part", ['<a "', '<a ="', "<div>", "<b><p>", "<p>x</b>", "<div></p>", "</script", "<script></script", "<![CDATA[", "<!", "<!-", "&#1", "<li>"])
+def test_html_time_is_linear(part):
+    """A megabyte of unclosed or stray markup takes seconds at most; quadratic time would take many minutes."""
+    import time
+
+    began = time.process_time()
+    assert html.main_text("hello " + part * (1_000_000 // len(part))).startswith("hello")
+    assert time.process_time() - began < 5
+    assert html.main_text("x &#" + "9" * 5000 + "; &#0000000065;") == "x � A"
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>a  b</p></article>", "t"), (2, None, None, "t"), (None, "u", "<p>x", "t")], "page_id bigint, url string, html string, text string")
     got = sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in html.extract(df).collect())
