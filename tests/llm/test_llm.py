@@ -74,20 +74,42 @@ def test_topk_against_brute_force(spark):
     vectors = rng.normal(size=(300, 16))
     vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
     vectors[200:260] = vectors[7]  # ties
-    rows = [(i, [float(x) for x in v], 1) for i, v in enumerate(vectors)] + [(None, [0.1] * 16, 1), (1000, None, 1), (1001, [0.1] * 15 + [None], 1), (1002, [float("nan")] * 16, 1), (1003, [], 1), (1050, [0.5] * 3, 1), (50, [float(x) for x in vectors[50]], 2)]
-    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, score int")
-    got = collections.defaultdict(list)
-    for r in topk.search(df, every=50, block=64, query_block=3).orderBy("query_id", "rank").collect():
-        got[r["query_id"]].append((r["vec_id"], r["score"]))
-    live = [(i, np.floor(256 * np.float32(v).astype(np.float64)).astype(int)) for i, v, _ in rows if i is not None and v and None not in v and not np.isnan(v).any()]
-    for q in (0, 50, 100, 200, 250):
-        mine = next(v for i, v in live if i == q)
-        best = sorted((-int(v @ mine), i) for i, v in live if i != q and len(v) == 16)[:5]
-        assert got[q] == [(i, -s) for s, i in best]
-    assert 1050 not in got and set(got) == {0, 50, 100, 150, 200, 250}
+    huge = [[2e5] + [0.0] * 15, [-3e38] * 16, [3e38] * 8 + [1.0] * 8]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)] + [(None, [0.1] * 16), (1000, None), (1001, [0.1] * 15 + [None]), (1002, [float("nan")] * 16), (1004, [float("inf")] * 16), (1003, []), (1006, []), (1050, []), (1100, [0.5] * 3)]
+    rows += [(50, [float(x) for x in vectors[51]]), (50, [float(x) for x in vectors[50]]), (2000, [float(x) for x in vectors[7]]), (1007, huge[0]), (1008, huge[1]), (1150, huge[2])]
+    df = spark.createDataFrame([(*r, 1, 2, 3, "x") for r in rows], "vec_id bigint, embedding array<float>, score int, id int, v int, dim string")
+    live = [(i, tuple(int(np.floor(256 * float(np.float32(x)))) for x in v)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()]
+    limit = lambda s: max(-(2**63), min(2**63 - 1, s))
+    want = collections.Counter()
+    for q, x in {(i, v) for i, v in live if i % 50 == 0}:
+        best = sorted((-limit(sum(a * b for a, b in zip(x, y, strict=True))), i) for i, y in live if i != q and len(y) == len(x))[:5]
+        want.update((q, n + 1, i, -s) for n, (s, i) in enumerate(best))
+    assert {i for i, *_ in want} == {0, 50, 100, 150, 200, 250, 1000 + 50, 1150, 2000} and (1100, 1) not in {w[:2] for w in want}
+    for blocks in ({"block": 64, "query_block": 1}, {"block": 64, "query_block": 3}, {}):
+        got = topk.search(df, every=50, **blocks).collect()
+        assert collections.Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == want
     assert topk.search(df.limit(0)).count() == 0
 
 
+def test_topk_stops_on_proof():
+    """Clustered rows: the index proves its result before it has seen all postings; scattered signs and sizes give the same rows as
+    brute force."""
+    rng = np.random.default_rng(4)
+    for spread, scale in ((0.1, 40), (1.0, 40), (1.0, 1), (3.0, 100_000)):
+        centres = rng.normal(size=(20, 32)) * scale
+        rows = np.floor(centres[rng.integers(20, size=2000)] + rng.normal(size=(2000, 32)) * scale * spread).astype(np.int64)
+        ids = rng.permutation(2000) // 2
+        index = topk.Index(rows, ids)
+        for i in range(0, 2000, 40):
+            found, scores = index.best(rows[i], int(ids[i]), 5)
+            full = rows @ rows[i]
+            order = [j for j in np.lexsort((ids, -full)) if ids[j] != ids[i]][:5]
+            assert list(scores) == list(full[order]) and list(ids[found]) == list(ids[order])
+        if spread == 0.1:
+            assert index.postings < 0.8 * 50 * rows.size
+    assert len(topk.Index(rows[:1], ids[:1]).best(rows[0], int(ids[0]), 5)[0]) == 0
+
+
 def test_bpe_is_the_library(spark):
     from tokenizers import Tokenizer
 
