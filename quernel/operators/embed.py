@@ -2,11 +2,66 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from typing import Protocol
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import embedding_tokens
-from ..functions.vectors import l2_normalize
+from ..functions.vectors import hash_embedding, l2_normalize
+
+
+class Embedder(Protocol):
+    """What turns texts into vectors: its name and version are part of a row's hash, so a change embeds everything again."""
+
+    model: str
+    version: str
+    dimension: int
+
+    def embed(self, rows: DataFrame, text: str, name: str = "embedding") -> DataFrame:
+        """The rows with a further column of vectors."""
+        ...
+
+
+@dataclass(frozen=True)
+class HashEmbedder:
+    """Sums of the tokens' hash vectors: no model, the same everywhere."""
+
+    dimension: int = 300
+    model: str = "hash"
+    version: str = "v1"
+
+    def embed(self, rows: DataFrame, text: str, name: str = "embedding") -> DataFrame:
+        return rows.withColumn(name, hash_embedding(embedding_tokens(F.col(text)), self.dimension))
+
+
+@dataclass(frozen=True)
+class WordEmbedder:
+    """Means of the tokens' vectors from a table (word, vector)."""
+
+    words: DataFrame
+    dimension: int = 300
+    unknown: list[float] | None = None
+    model: str = "words"
+    version: str = "v1"
+
+    def embed(self, rows: DataFrame, text: str, name: str = "embedding") -> DataFrame:
+        numbered = rows.withColumn("_row", F.monotonically_increasing_id())
+        vectors = mean_of_words(numbered.select("_row", text), self.words, self.dimension, "_row", text, self.unknown).withColumnRenamed("embedding", name)
+        return numbered.join(vectors, "_row").drop("_row")
+
+
+EMBEDDERS = {"hash": lambda dimension, words: HashEmbedder(dimension), "words": lambda dimension, words: WordEmbedder(words, dimension)}
+
+
+def create(provider: str, dimension: int = 300, words: DataFrame | None = None) -> Embedder:
+    """An embedder by its name, in any case: hash, or words with a table of word vectors of that dimension."""
+    if provider.lower() not in EMBEDDERS:
+        raise ValueError(f"there is no embedder {provider}")
+    if provider.lower() == "words" and words is None:
+        raise ValueError("the embedder of words needs a table of word vectors")
+    return EMBEDDERS[provider.lower()](dimension, words)
 
 
 def mean_of_words(rows: DataFrame, words: DataFrame, dimension: int, key: str = "external_id", text: str = "text", unknown: list[float] | None = None) -> DataFrame:

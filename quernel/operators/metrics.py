@@ -34,11 +34,31 @@ def macro(per_query: DataFrame) -> DataFrame:
     return per_query.agg(*(F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in ("precision", "recall", "mrr", "ap", "ndcg")))
 
 
-def score_stats(queries: DataFrame, candidates: DataFrame, returned: int, query_key: str = "qid") -> DataFrame:
-    """Per query the number of candidates, of returned and of positive ones, and least, largest and mean score; zeros without any."""
-    s = candidates.groupBy(query_key).agg(F.count("*").alias("n"), F.count_if(F.col("score") > 0).alias("nonzero"), F.min("score").alias("lo"), F.max("score").alias("hi"), F.avg("score").alias("mean"))
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return queries.select(query_key).join(s, query_key, "left").select(query_key, F.coalesce("n", F.lit(0)).alias("candidate_count"), F.least(F.coalesce("n", F.lit(0)), F.lit(returned)).alias("returned_count"), F.coalesce("nonzero", F.lit(0)).alias("nonzero_count"), zero("lo").alias("min_score"), zero("hi").alias("max_score"), zero("mean").alias("mean_score"))
+def score_stats(queries: DataFrame, candidates: DataFrame, returned: DataFrame, query_key: str = "qid") -> DataFrame:
+    """Per query the number of candidates, and of the returned rows the number, that of positive scores, and least, largest and
+    mean score; zeros without any. Only the first figure is over the candidates."""
+    pool = candidates.groupBy(query_key).agg(F.count("*").alias("candidate_count"))
+    s = returned.groupBy(query_key).agg(F.count("*").alias("returned_count"), F.count_if(F.col("score") > 0).alias("nonzero_count"), F.min("score").alias("min_score"), F.max("score").alias("max_score"), F.avg("score").alias("mean_score"))
+    zero = lambda c, z: F.coalesce(c, F.lit(z)).alias(c)
+    met = queries.select(query_key).join(pool, query_key, "left").join(s, query_key, "left")
+    return met.select(query_key, *(zero(c, 0) for c in ("candidate_count", "returned_count", "nonzero_count")), *(zero(c, 0.0) for c in ("min_score", "max_score", "mean_score")))
+
+
+def coverage(queries: DataFrame, candidates: DataFrame, docs_terms: DataFrame, key: str = "external_id", query_key: str = "qid") -> DataFrame:
+    """Per query with terms (query_key, term, ...): their number, the number of those that a candidate holds, and its share."""
+    held = candidates.select(query_key, key).join(docs_terms.select(key, "term"), key).join(queries.select(query_key, "term"), [query_key, "term"], "left_semi").select(query_key, "term").distinct()
+    met = queries.select(query_key, "term").join(held.withColumn("hit", F.lit(1)), [query_key, "term"], "left").groupBy(query_key).agg(F.count("*").alias("query_terms"), F.count("hit").alias("matched_terms"))
+    return met.withColumn("coverage", F.col("matched_terms") / F.col("query_terms"))
+
+
+#: Names of the metrics at k and the one that is recommended.
+LABELS = {"precision": "Precision@{k}", "recall": "Recall@{k}", "mrr": "MRR", "ap": "MAP", "ndcg": "nDCG@{k}"}
+RECOMMENDED = "ndcg"
+
+
+def labels(k: int) -> dict[str, str]:
+    """The name of each metric at k."""
+    return {name: label.format(k=k) for name, label in LABELS.items()}
 
 
 def match_quality(top: F.Column, no_match: float = 0.30, relevant: float = 0.50) -> F.Column:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def dedupe_first(df: DataFrame, key: str, *order: str) -> DataFrame:
-    """The first row of each id in the given order; rows without an id go."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.where(F.col(key).isNotNull()).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    """The first row of each id in the given order; rows without an id go. The least row of an id is aggregated partly before
+    rows move, so an id with very many rows is one row for each task."""
+    kept = df.where(F.col(key).isNotNull())
+    least = F.min_by(F.struct(*df.columns), F.struct(*order))
+    return kept.groupBy(F.col(key).alias("_key")).agg(least.alias("_row")).select("_row.*")
 
 
 def hash_diff(source: DataFrame, stored: DataFrame, key: str = "external_id", column: str = "content_hash") -> DataFrame:

@@ -13,9 +13,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import documents as fd
+from ..functions import projections as fp
 from ..functions import text as ft
 from ..functions import vectors as fv
-from ..operators import metrics, policy, rank, retrieve, sync
+from ..operators import embed, metrics, policy, rank, retrieve, sync
+from ..sources import fixtures, records
+from ..sources.table import verification
+from ..sources.written import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,7 +87,10 @@ def first_vector(e: DataFrame) -> DataFrame:
 
 
 def one_query(e: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    return retrieve.batch_top_k(items, first_vector(e), k).select("vec_id", F.round("score", 6).alias("score"))
+    """The search of one vector, as a single request asks: no window, each task keeps its k best. Many queries are
+    vec_batch_topk."""
+    found = first_vector(e).first()  # one row
+    return retrieve.top_k(items, found["qv"] if found else [], k).select("vec_id", F.round("score", 6).alias("score"))
 
 
 _ONE = "WITH q AS (SELECT embedding AS qv FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(" + _COS.format("embedding", "qv") + ", 6) AS score FROM embeddings, q {} ORDER BY " + _COS.format("embedding", "qv") + " DESC, vec_id LIMIT 10"
@@ -145,10 +152,10 @@ def vec_dims_norms(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "embeddings").agg(F.count("*").alias("n"), F.min(F.size("embedding")).alias("min_dims"), F.max(F.size("embedding")).alias("max_dims"), F.round(F.min(n), 6).alias("min_norm"), F.round(F.max(n), 6).alias("max_norm"))
 
 
-@query(f"SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) / {_NORM})), 6) AS total FROM embeddings")
+@query(f"SELECT vec_id, unnest(range(len(embedding))) AS pos, round(unnest(list_transform(embedding, lambda x: CAST(x AS DOUBLE) / {_NORM})), 6) AS value FROM embeddings")
 def vec_l2_normalize(spark: SparkSession, d: str) -> DataFrame:
-    unit = fv.l2_normalize(F.col("embedding"))
-    return read(spark, d, "embeddings").select("vec_id", F.round(F.aggregate(unit, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+    unit = read(spark, d, "embeddings").select("vec_id", F.posexplode(fv.l2_normalize(F.col("embedding"))).alias("pos", "v"))
+    return unit.select("vec_id", F.col("pos").cast("bigint").alias("pos"), F.round("v", 6).alias("value"))
 
 
 @query("SELECT label, pos, round(avg(v), 6) AS mean FROM (SELECT label, unnest(range(len(embedding))) AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) GROUP BY label, pos")
@@ -165,10 +172,16 @@ def vec_tie_boost(spark: SparkSession, d: str) -> DataFrame:
     return top.select("doc_id", F.row_number().over(w).cast("bigint").alias("place"))
 
 
-@query()
+_TOKENS = f"CASE WHEN len({s_filtered('text')}) > 0 THEN {s_filtered('text')} ELSE {s_raw('text')} END"
+
+
+@query(f"""WITH t AS (SELECT item_id, unnest({_TOKENS}) AS token FROM benchmark),
+    v AS (SELECT item_id, pos, sum(CAST('0x' || substr(sha256(token), CAST((pos % 32) * 2 + 1 AS INT), 2) AS INT) / 255.0 * 2 - 1) AS v FROM t, range(300) r(pos) GROUP BY ALL),
+    n AS (SELECT item_id, sqrt(sum(v * v)) AS n FROM v GROUP BY item_id)
+    SELECT b.item_id, r.pos, round(coalesce(v / n, 0), 6) AS value FROM benchmark b CROSS JOIN range(300) r(pos) LEFT JOIN v ON v.item_id = b.item_id AND v.pos = r.pos LEFT JOIN n ON n.item_id = b.item_id""")
 def hash_embed(spark: SparkSession, d: str) -> DataFrame:
-    b = read(spark, d, "benchmark").select("item_id", ft.embedding_tokens(F.col("text")).alias("t"))
-    return b.select("item_id", F.transform(fv.hash_embedding(F.col("t"), 16), lambda x: F.round(x, 6)).alias("embedding"))
+    vectors = embed.HashEmbedder(300).embed(read(spark, d, "benchmark"), "text").select("item_id", F.posexplode("embedding").alias("pos", "v"))
+    return vectors.select("item_id", F.col("pos").cast("bigint").alias("pos"), F.round("v", 6).alias("value"))
 
 
 # ---- text ------------------------------------------------------------------------------------------------------------
@@ -202,8 +215,8 @@ def doc_terms(spark: SparkSession, d: str) -> DataFrame:
     return rank.terms(read(spark, d, "documents"), "doc_id", "text")
 
 
-def doc_facts(spark: SparkSession, d: str) -> DataFrame:
-    return rank.lengths(read(spark, d, "documents"), "doc_id", "text").agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+def corpus(spark: SparkSession, d: str) -> rank.Corpus:
+    return rank.Corpus.of(read(spark, d, "documents"), "doc_id", "text")
 
 
 def query_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -217,28 +230,30 @@ def tf(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_D_TERMS} SELECT term, df FROM df")
 def df(spark: SparkSession, d: str) -> DataFrame:
-    return rank.document_frequency(doc_terms(spark, d))
+    tokens = read(spark, d, "documents").select(F.array_distinct(ft.ranking_tokens(F.col("text"))).alias("t"))
+    return rank.document_frequency(tokens.select(F.explode("t").alias("term")))
 
 
 @query(f"WITH {_D_TERMS} SELECT term, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM df, nd")
 def idf_bm25(spark: SparkSession, d: str) -> DataFrame:
-    counts = rank.document_frequency(doc_terms(spark, d)).crossJoin(F.broadcast(doc_facts(spark, d)))  # one row
-    return counts.select("term", F.round(rank.bm25_idf(F.col("n"), F.col("df")), 6).alias("idf"))
+    c = corpus(spark, d)
+    return rank.document_frequency(c.terms).crossJoin(F.broadcast(c.facts)).select("term", F.round(rank.bm25_idf(F.col("n"), F.col("df")), 6).alias("idf"))  # facts are one row
 
 
 @query(f"WITH {_D_TERMS} SELECT term, round(ln(n / df), 6) AS idf FROM df, nd")
 def idf_tfidf(spark: SparkSession, d: str) -> DataFrame:
-    counts = rank.document_frequency(doc_terms(spark, d)).crossJoin(F.broadcast(doc_facts(spark, d)))  # one row
-    return counts.select("term", F.round(F.log(F.col("n") / F.col("df")), 6).alias("idf"))
+    c = corpus(spark, d)
+    return rank.document_frequency(c.terms).crossJoin(F.broadcast(c.facts)).select("term", F.round(F.log(F.col("n") / F.col("df")), 6).alias("idf"))  # facts are one row
 
 
 @query(f"WITH {_D_TERMS} SELECT n, round(al, 6) AS avg_len FROM nd")
 def avg_doc_len(spark: SparkSession, d: str) -> DataFrame:
-    return doc_facts(spark, d).select("n", F.round("avg_len", 6).alias("avg_len"))
+    return rank.lengths(read(spark, d, "documents"), "doc_id", "text").agg(F.count("*").alias("n"), F.round(F.avg("len"), 6).alias("avg_len"))
 
 
-def bm25_scores(spark: SparkSession, d: str, k: int) -> DataFrame:
-    return rank.best(rank.bm25(query_terms(spark, d), doc_terms(spark, d), doc_facts(spark, d)), k, digits=6)
+def bm25_scores(spark: SparkSession, d: str, k: int, c: rank.Corpus | None = None) -> DataFrame:
+    c = c or corpus(spark, d)
+    return rank.best(rank.bm25(query_terms(spark, d), c.terms, c.facts), k, digits=6)
 
 
 @query(f"WITH {_BM25} SELECT qid, rank, doc_id, score FROM rk WHERE rank <= 10")
@@ -247,27 +262,55 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 _PASSAGE_VECTORS = "SELECT vec_id AS qid, embedding AS qv FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)"
-_POOL = f"""pool AS (SELECT qid, vec_id AS doc_id FROM ({_BATCH.replace(_QV, _PASSAGE_VECTORS)} SELECT qid, vec_id FROM r WHERE rank <= 30) JOIN documents ON doc_id = vec_id),
+_POOL = f"""pool AS (SELECT qid, vec_id AS doc_id, rank, score FROM ({_BATCH.replace(_QV, _PASSAGE_VECTORS)} SELECT qid, vec_id, rank, score FROM r WHERE rank <= 30) JOIN documents ON doc_id = vec_id),
     t0 AS (SELECT doc_id, {s_stems('text')} AS t FROM documents WHERE doc_id IN (SELECT doc_id FROM pool)),
     pd AS (SELECT qid, doc_id, t FROM pool JOIN t0 USING (doc_id)), st AS (SELECT qid, count(*) AS n, avg(len(t)) AS al FROM pd GROUP BY qid),
     pt AS (SELECT qid, doc_id, len(t) AS l, term, count(*) AS tf FROM (SELECT qid, doc_id, t, unnest(t) AS term FROM pd) GROUP BY ALL),
     pf AS (SELECT qid, term, count(*) AS df FROM pt GROUP BY ALL), {_Q_TERMS}"""
 
 
-@query(f"WITH {_POOL} SELECT qid, doc_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / al))), 6) AS score FROM qt JOIN pt USING (qid, term) JOIN pf USING (qid, term) JOIN st USING (qid) GROUP BY qid, doc_id")
-def bm25_candidates_idf(spark: SparkSession, d: str) -> DataFrame:
-    """BM25 whose idf and mean length are those of each query's own candidates. Every passage is a query; the vector with its
-    id is its own."""
-    e = read(spark, d, "embeddings")
+_RERANKED = """, o AS (SELECT p.qid, p.doc_id, p.rank AS was, p.score AS vector_score, round(coalesce(s, 0), 6) AS score FROM pool p LEFT JOIN sc USING (qid, doc_id)),
+    rr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, round(vector_score, 9) DESC, was) AS rank FROM o)"""
+_POOL_BM25 = f"""{_POOL}, sc AS (SELECT qid, doc_id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / al))) AS s
+    FROM qt JOIN pt USING (qid, term) JOIN pf USING (qid, term) JOIN st USING (qid) GROUP BY qid, doc_id){_RERANKED}"""
+
+
+def passage_pool(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The 30 nearest documents of each passage (the vector with a passage's id is its own), and their terms and lengths."""
+    e, scratch = read(spark, d, "embeddings"), Scratch(spark)
     passages = e.join(read(spark, d, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
-    pool = retrieve.batch_top_k(e, passages.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv")), 30).select("qid", F.col("vec_id").alias("doc_id"))
-    docs = read(spark, d, "documents").join(pool.select("doc_id").distinct(), "doc_id", "left_semi")
-    lengths = pool.join(rank.lengths(docs, "doc_id", "text"), "doc_id").groupBy("qid").agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    terms = pool.join(rank.terms(docs, "doc_id", "text"), "doc_id")
-    counts = terms.groupBy("qid", "term").agg(F.count("*").alias("df"))
-    met = query_terms(spark, d).join(terms, ["qid", "term"]).join(counts, ["qid", "term"]).join(lengths, "qid")
-    w = F.col("qtf") * rank.bm25_idf(F.col("n"), F.col("df")) * F.col("tf") * 2.5 / (F.col("tf") + 1.5 * (0.25 + 0.75 * F.col("len") / F.col("avg_len")))
-    return met.groupBy("qid", "doc_id").agg(F.round(F.sum(w), 6).alias("score"))
+    near = retrieve.batch_top_k(e, passages.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv")), 30).select("qid", F.col("vec_id").alias("doc_id"), "rank", F.round("score", 9).alias("score"))
+    docs = read(spark, d, "documents")
+    near = scratch.keep(near.join(docs.select("doc_id"), "doc_id", "left_semi"))
+    held = scratch.keep(rank.counted(docs.join(near.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id", "text"))
+    return near, held.where("term is not null").select("doc_id", "term", "tf", "len"), held.where("first").select("doc_id", "len")
+
+
+@query(f"WITH {_POOL_BM25} SELECT qid, doc_id, score FROM o WHERE score > 0")
+def bm25_candidates_idf(spark: SparkSession, d: str) -> DataFrame:
+    """BM25 whose idf and mean length are those of each query's own candidates."""
+    near, doc_terms_, lens = passage_pool(spark, d)
+    scored = rank.rerank_bm25(query_terms(spark, d), near, doc_terms_, lens, key="doc_id")
+    return scored.select("qid", "doc_id", F.round("rank_score", 6).alias("score")).where("score > 0")
+
+
+@query(f"WITH {_POOL_BM25} SELECT qid, rank, doc_id, score, vector_score FROM rr WHERE rank <= 10".replace(", vector_score FROM", ", round(vector_score, 6) AS vector_score FROM"))
+def bm25_rerank(spark: SparkSession, d: str) -> DataFrame:
+    """The ten best candidates: those that share no term score 0 and are ranked by their vector score."""
+    near, doc_terms_, lens = passage_pool(spark, d)
+    best = rank.ranked(rank.rerank_bm25(query_terms(spark, d), near, doc_terms_, lens, key="doc_id"), 10, digits=6)
+    return best.select("qid", "rank", "doc_id", F.round("score", 6).alias("score"), F.round("vector_score", 6).alias("vector_score"))
+
+
+@query(f"""WITH {_POOL}, idf AS (SELECT qid, term, ln(n / df) AS idf FROM pf JOIN st USING (qid)),
+    ql AS (SELECT qid, sum(qtf) AS s FROM qt GROUP BY qid), qw AS (SELECT qid, term, qtf / s * idf AS qw FROM qt JOIN ql USING (qid) JOIN idf USING (qid, term)),
+    dw AS (SELECT qid, doc_id, term, tf / l * idf AS w FROM pt JOIN idf USING (qid, term)), qn AS (SELECT qid, sqrt(sum(qw * qw)) AS qn FROM qw GROUP BY qid), dn AS (SELECT qid, doc_id, sqrt(sum(w * w)) AS dn FROM dw GROUP BY ALL),
+    sc AS (SELECT qid, doc_id, sum(qw * w) / nullif(max(dn * qn), 0) AS s FROM qw JOIN dw USING (qid, term) JOIN dn USING (qid, doc_id) JOIN qn USING (qid) GROUP BY qid, doc_id){_RERANKED}
+    SELECT qid, rank, doc_id, score FROM rr WHERE rank <= 10""")
+def tfidf_rerank(spark: SparkSession, d: str) -> DataFrame:
+    near, doc_terms_, lens = passage_pool(spark, d)
+    best = rank.ranked(rank.rerank_tfidf(query_terms(spark, d), near, doc_terms_, lens, key="doc_id"), 10, digits=6)
+    return best.select("qid", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {_D_TERMS}, {_Q_TERMS}, idf AS (SELECT term, ln(n / df) AS idf FROM df, nd),
@@ -277,7 +320,8 @@ def bm25_candidates_idf(spark: SparkSession, d: str) -> DataFrame:
     sc AS (SELECT qid, doc_id, round(sum(qw * w) / max(dn * qn), 6) AS score FROM qw JOIN dw USING (term) JOIN dn USING (doc_id) JOIN qn USING (qid) WHERE dn > 0 AND qn > 0 GROUP BY qid, doc_id),
     rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM sc) SELECT qid, rank, doc_id, score FROM rk WHERE rank <= 10""")
 def tfidf_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
-    return rank.best(rank.tfidf(query_terms(spark, d), doc_terms(spark, d), doc_facts(spark, d)), 10, digits=6).select("qid", "rank", "doc_id", "score")
+    c = corpus(spark, d)
+    return rank.best(rank.tfidf(query_terms(spark, d), c.terms, c.facts), 10, digits=6).select("qid", "rank", "doc_id", "score")
 
 
 @query(f"WITH q AS (SELECT item_id AS qid, list_distinct({s_stems('text')}) AS t FROM benchmark), d AS (SELECT doc_id, list_distinct({s_stems('text')}) AS t FROM documents), dt AS (SELECT doc_id, unnest(t) AS term FROM d), qt AS (SELECT qid, unnest(t) AS term FROM q) SELECT qid, doc_id, count(*) AS shared FROM qt JOIN dt USING (term) GROUP BY qid, doc_id HAVING count(*) >= 10")
@@ -287,18 +331,40 @@ def term_intersection(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---- evaluation ------------------------------------------------------------------------------------------------------
+def contained(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """qid, doc_id of every document (doc_id, text) that contains a passage (qid, p) as a part of its text.
+
+    The inner words of a passage, all but its first and last, stand as whole words in such a document. Passages of five words or
+    more meet documents on their second to fourth word together, those of three and four on their second word, so passages and
+    documents are never all paired. Shorter passages have no inner word: they are counted, and a table of at most
+    retrieve.BROADCAST_QUERIES of them is broadcast; a larger one meets the documents in blocks. An empty passage asks for nothing.
+    """
+    cut = passages.select("qid", "p", F.split("p", " ").alias("w")).withColumn("n", F.size("w"))
+    words = docs.select("doc_id", F.split("text", " ").alias("w"))
+    threes = words.select("doc_id", F.explode(F.array_distinct(F.expr("transform(sequence(1, greatest(1, size(w) - 2)), i -> array_join(slice(w, i, 3), ' '))"))).alias("key"))
+    long = cut.where("n >= 5").select("qid", "p", F.array_join(F.slice("w", 2, 3), " ").alias("key"))
+    met = threes.join(long, "key").select("doc_id", "qid", "p")
+    some = cut.where("n between 3 and 4").select("qid", "p", F.col("w")[1].alias("key"))
+    if some.limit(1).count():
+        met = met.unionByName(words.select("doc_id", F.explode(F.array_distinct("w")).alias("key")).join(some, "key").select("doc_id", "qid", "p"))
+    found = met.distinct().join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "p")).select("qid", "doc_id")
+    short = cut.where("n < 3 and p <> ''").select("qid", "p")
+    if n := short.count():
+        if n <= retrieve.BROADCAST_QUERIES:
+            pairs = docs.crossJoin(F.broadcast(short))
+        else:
+            blocks = max(1, n // retrieve.BROADCAST_QUERIES)
+            each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+            pairs = docs.withColumn("_b", each).join(short.withColumn("_b", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")), "_b")
+        found = found.unionByName(pairs.where(F.contains("text", "p")).select("qid", "doc_id"))
+    return found
+
+
 def qrels(spark: SparkSession, d: str) -> DataFrame:
-    """A document that contains a passage is relevant to it, with grade 3 if it is labelled good and 1 otherwise. Candidate
-    pairs meet on three neighbouring words of a passage (its second to fourth), so passages and documents are never all
-    paired. Passages have four words at least."""
+    """A document that contains a passage is relevant to it, with grade 3 if it is labelled good and 1 otherwise."""
     passages = read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("p"))
-    docs = read(spark, d, "documents").select("doc_id", "text")
     quality = read(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    inner = passages.select("qid", "p", F.split("p", " ").alias("w")).select("qid", "p", F.expr("array_join(slice(w, 2, 3), ' ')").alias("key"))
-    words = docs.select("doc_id", "text", F.split("text", " ").alias("w"))
-    keys = words.select("doc_id", F.explode(F.array_distinct(F.expr("transform(sequence(1, greatest(1, size(w) - 2)), i -> array_join(slice(w, i, 3), ' '))"))).alias("key"))
-    hits = keys.join(inner, "key").select("doc_id", "qid", "p").distinct()
-    found = hits.join(docs, "doc_id").where(F.contains("text", "p"))
+    found = contained(read(spark, d, "documents").select("doc_id", "text"), passages)
     return found.join(quality, "doc_id", "left").select("qid", "doc_id", (1 + 2 * F.coalesce("quality", F.lit(0))).alias("grade"))
 
 
@@ -343,19 +409,20 @@ def macro_avg(spark: SparkSession, d: str) -> DataFrame:
     return metrics.macro(per_query(spark, d)).select(*(F.round(c, 6).alias(c) for c in ("precision", "recall", "mrr", "ap", "ndcg")))
 
 
-@query(_BATCH + " SELECT qid, count(*) AS candidate_count, least(count(*), 5) AS returned_count, count(*) FILTER (score > 0) AS nonzero_count, round(min(score), 6) AS min_score, round(max(score), 6) AS max_score, round(avg(score), 6) AS mean_score FROM r WHERE rank <= 15 GROUP BY qid")
+@query(_BATCH + ", m AS (SELECT * FROM r WHERE rank <= 15) SELECT qid, count(*) AS candidate_count, count(*) FILTER (rank <= 5) AS returned_count, count(*) FILTER (rank <= 5 AND score > 0) AS nonzero_count, round(min(score) FILTER (rank <= 5), 6) AS min_score, round(max(score) FILTER (rank <= 5), 6) AS max_score, round(avg(score) FILTER (rank <= 5), 6) AS mean_score FROM m GROUP BY qid")
 def query_score_stats(spark: SparkSession, d: str) -> DataFrame:
+    """All figures but the number of candidates are over the five returned rows."""
     e = read(spark, d, "embeddings")
-    s = metrics.score_stats(query_vectors(e), retrieve.batch_top_k(e, query_vectors(e), 15), 5)
-    return s.select("qid", "candidate_count", F.col("returned_count").cast("bigint"), "nonzero_count", *(F.round(c, 6).alias(c) for c in ("min_score", "max_score", "mean_score")))
+    found = retrieve.batch_top_k(e, query_vectors(e), 15)
+    s = metrics.score_stats(query_vectors(e), found, found.where("rank <= 5"))
+    return s.select("qid", "candidate_count", "returned_count", "nonzero_count", *(F.round(c, 6).alias(c) for c in ("min_score", "max_score", "mean_score")))
 
 
 @query(f"WITH {_BM25}, c AS (SELECT DISTINCT k.qid, dt.term FROM rk k JOIN dt USING (doc_id) WHERE k.rank <= 10) SELECT qt.qid, count(*) AS query_terms, count(c.term) AS matched_terms, round(count(c.term) / count(*), 6) AS coverage FROM qt LEFT JOIN c ON c.qid = qt.qid AND c.term = qt.term GROUP BY qt.qid")
 def query_coverage(spark: SparkSession, d: str) -> DataFrame:
-    pool = bm25_scores(spark, d, 10).select("qid", "doc_id")
-    held = pool.join(doc_terms(spark, d).select("doc_id", "term"), "doc_id").select("qid", "term").distinct().withColumn("hit", F.lit(1))
-    met = query_terms(spark, d).join(held, ["qid", "term"], "left").groupBy("qid").agg(F.count("*").alias("query_terms"), F.count("hit").alias("matched_terms"))
-    return met.withColumn("coverage", F.round(F.col("matched_terms") / F.col("query_terms"), 6))
+    c = corpus(spark, d)
+    met = metrics.coverage(query_terms(spark, d), bm25_scores(spark, d, 10, c), c.terms, key="doc_id")
+    return met.withColumn("coverage", F.round("coverage", 6))
 
 
 @query(_BATCH + " SELECT qid, CASE WHEN max(score) <= 0.3 THEN 'no_match' WHEN max(score) < 0.5 THEN 'low_confidence' ELSE 'confident' END AS match_quality FROM r WHERE vec_id <> qid GROUP BY qid")
@@ -381,11 +448,13 @@ def tag_catalogue(spark: SparkSession) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT i AS id, 'Tag ' || i AS name, 'kind' || (i % 4) AS category FROM range(1, 41) t(i) WHERE i % 3 <> 0)
-    SELECT p_partkey, coalesce(c.name || ', ', '') || p_brand AS names, coalesce(c.category, '') AS categories, CASE WHEN c.id IS NULL THEN CAST(p_size AS VARCHAR) ELSE '' END AS unknown FROM part LEFT JOIN c ON c.id = p_size""")
+    SELECT p_partkey, coalesce(c.name || ', ', '') || p_brand AS names, p_size || CASE WHEN p_size % 5 = 0 THEN ',9999' ELSE '' END AS ids, coalesce(c.category, '') AS categories,
+        concat_ws(',', CASE WHEN c.id IS NULL THEN CAST(p_size AS VARCHAR) END, CASE WHEN p_size % 5 = 0 THEN '9999' END) AS unknown FROM part LEFT JOIN c ON c.id = p_size""")
 def tag_resolve(spark: SparkSession, d: str) -> DataFrame:
-    rows = read(spark, d, "part").select("p_partkey", F.array(F.col("p_size").cast("string"), "p_brand", F.upper("p_brand")).alias("tags"))
+    more = F.when(F.col("p_size") % 5 == 0, F.lit("9999"))
+    rows = read(spark, d, "part").select("p_partkey", F.array_compact(F.array(F.col("p_size").cast("string"), "p_brand", more, F.upper("p_brand"))).alias("tags"))
     t = fd.resolve_tags(rows, tag_catalogue(spark), "p_partkey", "tags")
-    return t.select("p_partkey", F.array_join("tag_names", ", ").alias("names"), F.array_join("tag_categories", ",").alias("categories"), F.array_join("unknown_tag_ids", ",").alias("unknown"))
+    return t.select("p_partkey", F.array_join("tag_names", ", ").alias("names"), F.array_join("tag_ids", ",").alias("ids"), F.array_join("tag_categories", ",").alias("categories"), F.array_join("unknown_tag_ids", ",").alias("unknown"))
 
 
 @query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN '" + fd.CATEGORY_PROFILES["cafe"] + "' WHEN 1 THEN '" + fd.CATEGORY_PROFILES["park"] + "' ELSE replace(lower(p_type), '_', ' ') END AS category FROM part")
@@ -419,11 +488,78 @@ def versioned_hash(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", fd.versioned_hash(source, "hash", "v1", 300).alias("content_hash"))
 
 
+_PLACE_RECORD = """
+    WITH c AS (SELECT i AS id, 'Tag ' || i AS name, 'kind' || (i % 4) AS category FROM range(1, 41) t(i) WHERE i % 3 <> 0),
+    f AS (SELECT p_partkey, p_name AS name, CASE WHEN p_size % 2 = 0 THEN 'cafe' ELSE p_type END AS category, p_type AS description, p_size, c.name AS tag, c.category AS kind, p_size % 5 <> 0 AS active,
+                 CASE WHEN p_size % 3 = 1 THEN p_brand END AS city FROM part LEFT JOIN c ON c.id = p_size),
+    g AS (SELECT *, CASE WHEN category = 'cafe' THEN '{cafe}' ELSE replace(lower(category), '_', ' ') END AS words, concat_ws(' ', tag, 'Rojo vivo') AS tags, concat_ws(',', tag, 'Rojo vivo') AS listed FROM f),
+    h AS (SELECT *, concat_ws(' ', name, words, words, words, words, description, description, description, tags, tags, tags, tags, tags, tags) AS document,
+            '{{"category":"' || category || '"' || coalesce(',"city":"' || city || '"', '') || ',"is_active":' || active || ',"name":"' || name || '","semantic_document_version":"weighted-tags-v2","short_description":"' || description || '","state":"Chiapas"'
+            || coalesce(',"tag_categories":["' || kind || '"]', '') || ',"tag_ids":[' || p_size || '],"tags":"' || listed || '"' || CASE WHEN tag IS NULL THEN ',"unknown_tag_ids":[' || p_size || ']' ELSE '' END || '}}' AS metadata FROM g)
+    SELECT CAST(p_partkey AS VARCHAR) AS external_id, document, metadata, active AS is_active,
+        sha256('{{"document":' || to_json(document) || ',"is_active":' || active || ',"metadata":' || metadata || ',"semantic_document_version":"weighted-tags-v2"}}') AS content_hash FROM h""".format(cafe=fd.CATEGORY_PROFILES["cafe"])
+
+
+@query(_PLACE_RECORD)
+def place_record(spark: SparkSession, d: str) -> DataFrame:
+    """Source records of places, mapped whole: document, metadata and hash."""
+    category = F.when(F.col("p_size") % 2 == 0, "cafe").otherwise(F.col("p_type"))
+    fields = {"uuid": F.col("p_partkey"), "title": F.concat(F.lit(" "), "p_name"), "type": category, "summary": F.col("p_type"), "tags": F.array(F.col("p_size").cast("string"), F.lit("Rojo_vivo"), F.lit("ROJO VIVO")), "isActive": F.col("p_size") % 5 != 0, "municipality": F.when(F.col("p_size") % 3 == 1, F.col("p_brand")), "source": F.lit(""), "occasions": F.lit(" , ")}
+    rows = read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), F.to_json(F.struct(*(c.alias(n) for n, c in fields.items()))).alias("record"))
+    return records.place_records(rows, tag_catalogue(spark)).select("external_id", "document", "metadata", "is_active", "content_hash")
+
+
+@query(f"""
+    WITH f AS (SELECT conv_id || '-' || turn AS external_id, role AS title, CASE WHEN conv_id % 2 = 0 THEN 'Tuxtla' END AS city, turn % 3 <> 0 AS active, {s_clean("concat_ws(' ', role, CASE WHEN conv_id % 2 = 0 THEN 'Tuxtla' END, 'Chiapas', 'uno dos', text)")} AS document FROM conversations),
+    g AS (SELECT *, '{{' || coalesce('"city":"' || city || '",', '') || '"is_active":' || active || ',"state":"Chiapas","tags":"uno,dos","title":"' || title || '"}}' AS metadata FROM f)
+    SELECT external_id, document, metadata, active AS is_active, sha256('{{"document":' || to_json(document) || ',"is_active":' || active || ',"metadata":' || metadata || '}}') AS content_hash FROM g""")
+def post_record(spark: SparkSession, d: str) -> DataFrame:
+    """Source records of posts, mapped whole."""
+    fields = {"name": F.col("role"), "city": F.when(F.col("conv_id") % 2 == 0, "Tuxtla"), "keywords": F.lit("uno, dos,"), "body": F.col("text"), "is_active": F.when(F.col("turn") % 3 == 0, 0).otherwise(1)}
+    rows = read(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.to_json(F.struct(*(c.alias(n) for n, c in fields.items()))).alias("record"))
+    return records.post_records(rows).select("external_id", "document", "metadata", "is_active", "content_hash")
+
+
+# ---- projections -----------------------------------------------------------------------------------------------------
+def stored(spark: SparkSession, d: str) -> DataFrame:
+    """Rows as a table holds them: customers with a name or none, and metadata."""
+    c = read(spark, d, "customer")
+    meta = F.to_json(F.struct(F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).alias("name"), F.col("c_mktsegment").alias("category"), F.lit("x,y").alias("tags"), F.when(F.col("c_custkey") % 3 == 0, F.lit("")).alias("occasion")))
+    return c.select(F.col("c_custkey").alias("external_id"), (F.col("c_acctbal") / 7).alias("score"), meta.alias("metadata"))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE CAST(c_custkey AS VARCHAR) END AS name, c_mktsegment AS category, round(c_acctbal / 7, 4) AS score, c_custkey % 3 = 0 AS has_occasion, FALSE AS filled_occasion FROM customer")
+def place_candidates(spark: SparkSession, d: str) -> DataFrame:
+    rows = fp.answered(fp.place_candidates(stored(spark, d)), "score")
+    return rows.select("id", "name", "category", "score", fp.has_key("occasion").alias("has_occasion"), fp.has_text("occasion").alias("filled_occasion"))
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS id, '{"id":"' || c_custkey || '","name":"' || CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE CAST(c_custkey AS VARCHAR) END || '","category":"' || c_mktsegment || '","city":null,"state":null,"price_range":null,"score":0.0,"tags":"x,y"' || CASE WHEN c_custkey % 3 = 0 THEN ',"occasion":""' ELSE '' END || '}' AS context FROM customer""")
+def llm_context(spark: SparkSession, d: str) -> DataFrame:
+    rows = fp.place_candidates(stored(spark, d).drop("score"))
+    return rows.select("id", fp.llm_context().alias("context"))
+
+
+@query("SELECT conv_id || '-' || turn AS id, role AS title, array_to_string(CASE WHEN turn % 2 = 0 THEN ['a', 'b'] ELSE ['c'] END, '|') AS tags FROM conversations")
+def post_candidates(spark: SparkSession, d: str) -> DataFrame:
+    meta = F.to_json(F.struct(F.lit("").alias("title"), F.col("role").alias("name"), F.when(F.col("turn") % 2 == 0, F.lit(" a ,, b")).alias("tags")))
+    listed = F.to_json(F.struct(F.col("role").alias("title"), F.array(F.lit("c")).alias("tags")))
+    rows = read(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.when(F.col("turn") % 2 == 0, meta).otherwise(listed).alias("metadata"))
+    return fp.post_candidates(rows).select("id", "title", F.array_join("tags", "|").alias("tags"))
+
+
+@query("SELECT user_id, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS kinds, bool_and(value > 1) AS every_value, bool_or(value > 99) AS any_value FROM events GROUP BY user_id")
+def sorted_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Sets of ids in order, and whether all or any rows of a group hold."""
+    kinds = F.array_join(fp.sorted_ids(F.collect_set("event_type")), ",").alias("kinds")
+    return read(spark, d, "events").groupBy("user_id").agg(kinds, F.every(F.col("value") > 1).alias("every_value"), F.some(F.col("value") > 99).alias("any_value"))
+
+
 # ---- filters ---------------------------------------------------------------------------------------------------------
 def places(spark: SparkSession, d: str) -> DataFrame:
     c, n, r = (read(spark, d, t) for t in ("customer", "nation", "region"))
     return c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).select(
-        F.col("c_custkey").alias("external_id"), F.col("n_name").alias("city"), F.col("r_name").alias("state"), F.col("c_mktsegment").alias("category"), F.lit("$").alias("price_range"), F.col("c_name").alias("occasion"), (F.col("c_acctbal") > 0).alias("is_active")
+        F.col("c_custkey").alias("external_id"), F.col("n_name").alias("city"), F.col("r_name").alias("state"), F.col("c_mktsegment").alias("category"), F.when(F.col("c_acctbal") > 5000, "$$").otherwise("$").alias("price_range"), F.col("c_name").alias("occasion"), (F.col("c_acctbal") > 0).alias("is_active")
     )
 
 
@@ -442,6 +578,12 @@ def filter_normalized_mode(spark: SparkSession, d: str) -> DataFrame:
     return retrieve.apply(places(spark, d), retrieve.Filters(state=f"  {state.lower()} ", category="Buildíng", is_active=False), mode="normalized").select("external_id", "city")
 
 
+@query("SELECT c_custkey AS external_id FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 5000 AND lower(n_name) = lower((SELECT max(n_name) FROM nation))")
+def filter_city_price(spark: SparkSession, d: str) -> DataFrame:
+    city = read(spark, d, "nation").agg(F.max("n_name")).first()[0]
+    return retrieve.apply(places(spark, d), retrieve.Filters(city=city.lower(), price_range="$$")).select("external_id")
+
+
 @query("SELECT doc_id FROM documents WHERE source ILIKE '%SRC_1%'")
 def occasion_ilike(spark: SparkSession, d: str) -> DataFrame:
     rows = read(spark, d, "documents").select(F.col("doc_id"), F.col("source").alias("occasion"), F.lit(True).alias("is_active"))
@@ -503,6 +645,16 @@ def table_counts(spark: SparkSession, d: str) -> DataFrame:
     return one("documents").unionByName(one("embeddings"))
 
 
+_CHECKED = "SELECT '{0}' AS \"table\", count(*) AS total, min(len(embedding)) AS min_dims, max(len(embedding)) AS max_dims, '{0}' AS model, min('v' || label) AS version, round(min(n), 6) AS min_norm, round(max(n), 6) AS max_norm FROM (SELECT *, " + _NORM + " AS n FROM embeddings) WHERE label % 2 = {1}"
+
+
+@query(_CHECKED.format("even", 0) + " UNION ALL " + _CHECKED.format("odd", 1))
+def table_verification(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "embeddings").withColumn("embedding_version", F.concat(F.lit("v"), "label"))
+    found = verification({name: e.where(F.col("label") % 2 == n).withColumn("embedding_model", F.lit(name)) for n, name in enumerate(("even", "odd"))})
+    return found.withColumns({c: F.round(c, 6) for c in ("min_norm", "max_norm")})
+
+
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k, left(event_type, 3) AS kind FROM events ORDER BY ts DESC, event_id LIMIT 20")
 def recent_topn(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").orderBy(F.desc("ts"), "event_id").limit(20).select("event_id", F.get_json_object("props", "$.k").alias("k"), F.left("event_type", F.lit(3)).alias("kind"))
@@ -530,3 +682,11 @@ def template_message(spark: SparkSession, d: str) -> DataFrame:
 def cluster_explode(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "embeddings")
     return e.join(e.groupBy("label").agg(F.count("*").alias("size")), "label").select(F.col("label").alias("cluster_id"), F.col("vec_id").alias("post_id"), "size")
+
+
+@query("SELECT conv_id AS cluster_id, 'c' || conv_id AS label, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position, CAST(turn AS VARCHAR) AS post_id FROM conversations")
+def cluster_posts(spark: SparkSession, d: str) -> DataFrame:
+    """Stored clusters, exploded: a conversation is a cluster of its turns."""
+    turns = F.transform(F.array_sort(F.collect_list("turn")), lambda t: t.cast("string"))
+    made = read(spark, d, "conversations").groupBy(F.col("conv_id").alias("id")).agg(turns.alias("post_ids")).withColumn("label", F.concat(F.lit("c"), "id"))
+    return fixtures.cluster_posts(made).withColumn("position", F.col("position").cast("bigint"))

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.vectors import norm
 
 
 class VersionedTable:
@@ -28,7 +34,28 @@ class VersionedTable:
         for old in done[: len(done) + 1 - keep]:
             self.fs.delete(self._path(f"{self.path}/v{old}"), True)
 
-    def verify(self, columns: set[str]) -> bool:
-        """Whether the table exists and has the columns."""
+    def verify(self, columns: set[str] | dict[str, str], dimension: int | None = None, vector: str = "embedding") -> bool:
+        """Whether the table exists, has all the columns (with their types, where given as Spark writes them) and, where a
+        dimension is given, all its vectors have it."""
         df = self.read()
-        return df is not None and columns <= set(df.columns)
+        if df is None:
+            return False
+        kinds = dict(df.dtypes)
+        wanted = columns if isinstance(columns, dict) else {c: kinds.get(c) for c in columns}
+        if not all(c in kinds and kinds[c] == kind for c, kind in wanted.items()):
+            return False
+        return dimension is None or bool(df.agg(F.coalesce(F.every(F.size(vector) == dimension), F.lit(True))).first()[0])
+
+
+def checked_name(name: str) -> str:
+    """The name of a table or column, if it is letters, digits and underscores and starts with no digit; ValueError otherwise."""
+    if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", name):
+        raise ValueError(f"{name!r} is no name of a table or column")
+    return name
+
+
+def verification(tables: dict[str, DataFrame], vector: str = "embedding") -> DataFrame:
+    """table, total, dimensions, models, versions and norms of each table with embedding_model and embedding_version."""
+    n = norm(F.col(vector))
+    figures = [F.count("*").alias("total"), F.min(F.size(vector)).alias("min_dims"), F.max(F.size(vector)).alias("max_dims"), F.min("embedding_model").alias("model"), F.min("embedding_version").alias("version"), F.min(n).alias("min_norm"), F.max(n).alias("max_norm")]
+    return reduce(DataFrame.unionByName, (df.agg(*figures).select(F.lit(name).alias("table"), "*") for name, df in tables.items()))

@@ -63,5 +63,5 @@ def test_resolve_tags(spark):
     catalogue = spark.createDataFrame([(29, "Compras", "compras"), (187, "Ropa_barata", "compras")], "id int, name string, category string")
     rows = spark.createDataFrame([("p", ["29", "187", "9999", "ropa barata", "Vegano"])], "id string, tags array<string>")
     r = fd.resolve_tags(rows, catalogue, "id", "tags").first()
-    assert r["tag_names"] == ["Compras", "Ropa barata", "Vegano"] and r["tag_ids"] == [29, 187]
+    assert r["tag_names"] == ["Compras", "Ropa barata", "Vegano"] and r["tag_ids"] == [29, 187, 9999]
     assert r["tag_categories"] == ["compras"] and r["unknown_tag_ids"] == [9999]

