@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, replace
@@ -102,6 +103,30 @@ def cache_key(query: str, filters: retrieve.Filters, limit: int, geo: Geo | None
     return json.dumps({"query": " ".join(query.lower().split()), "filters": asked, "limit": limit, "latitude": place[0], "longitude": place[1], "radius_meters": geo.radius_m if geo else 5_000}, sort_keys=True)
 
 
+def post_cache_key(query: str, city: str | None, limit: int) -> str:
+    return f"posts:{' '.join(query.lower().split())}:{city}:{limit}"
+
+
+class Expiring:
+    """Values under keys for a number of seconds each; what is older is gone."""
+
+    def __init__(self, seconds: float, clock: Callable[[], float] = time.monotonic):
+        self.seconds, self.clock, self.held = seconds, clock, {}
+
+    def get(self, key: str) -> object | None:
+        value, until = self.held.get(key, (None, 0.0))
+        if until > self.clock():
+            return value
+        self.held.pop(key, None)
+        return None
+
+    def set(self, key: str, value: object) -> None:
+        self.held[key] = value, self.clock() + self.seconds
+
+    def clear(self) -> None:
+        self.held.clear()
+
+
 def wider(top: retrieve.Filters, nested: retrieve.Filters) -> retrieve.Filters:
     """The nested filters with city and state of the request itself where it names them; an empty one doesn't count."""
     return replace(nested, city=top.city or nested.city, state=top.state or nested.state)
@@ -136,6 +161,8 @@ class Engine:
         c, filters, scratch = self.config, filters or retrieve.Filters(), Scratch(queries.sparkSession)
         check_limits(limit, *((geo.lat, geo.lng, geo.radius_m) if geo else ()))
         check_texts(queries, 1_000)
+        if mode == "sql":  # a stored table is asked for active rows, whatever the request says
+            filters = replace(filters, is_active=True)
         near = None
         if geo:
             near = scratch.keep(geo.provider(geo.lat, geo.lng, geo.radius_m))

@@ -2,19 +2,32 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Stop-words of both tokenizers, the pattern of a token, and letters with the plain letter under their accent.
+#: Stop-words of both tokenizers, and the pattern of a token.
 STOPWORDS = (
     "a al algo algun alguna algunas algunos con cual cuando de del donde el ella en es esta este hay la las lo los me mi mis para pero por que quiero "
     "se ser su sus te tener tu tus un una unas uno unos ver y ya yo busco buscar lugar lugares necesito puedo"
 ).split()
 TOKEN = "[a-z0-9]+"
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzz"
+
+
+def _plain() -> tuple[str, str]:
+    """Letters that are one other letter once they are decomposed and lose their accents, and those letters; by Unicode's
+    compatibility decomposition. Ideographs and syllables stay as they are."""
+    pairs = []
+    for c in map(chr, [*range(0x80, 0x2E80), *range(0xFB00, 0x10000), *range(0x1D400, 0x1D800)]):
+        bare = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if len(bare) == 1 and bare != c:
+            pairs.append((c, bare))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+ACCENTED, PLAIN = _plain()
 
 
 def clean(c: Column) -> Column:
@@ -23,9 +36,8 @@ def clean(c: Column) -> Column:
 
 
 def strip_accents(c: Column) -> Column:
-    """Letters lose their accents: composed Latin letters by table, loose combining marks by class."""
-    table = F.translate(c, ACCENTED + ACCENTED.upper().replace("ÿ".upper(), "Ÿ"), PLAIN + PLAIN.upper())
-    return F.regexp_replace(table, r"\p{M}+", "")
+    """Letters lose their accents: composed ones by table, loose combining marks by class."""
+    return F.regexp_replace(F.translate(c, ACCENTED, PLAIN), r"\p{M}+", "")
 
 
 def fold(c: Column) -> Column:

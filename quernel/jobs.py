@@ -8,7 +8,8 @@ from __future__ import annotations
 import argparse
 import logging
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ class Counters:
     errors: int = 0
 
 
-def stage(rows: DataFrame, table: VersionedTable, embedder: embed.Embedder, dry_run: bool = False, key: str = "external_id") -> Counters:
+def stage(rows: DataFrame, table: VersionedTable, embedder: embed.Embedder, dry_run: bool = False, key: str = "external_id", as_of: datetime | None = None) -> Counters:
     """One batch of records (external_id, document, metadata, content_hash, is_active), one for each id: those whose versioned
     hash isn't the stored one are embedded and take the place of stored rows; nothing is deleted. A dry run embeds and
     counts, and writes nothing. The counters are taken before the table is written, in one pass over hashes."""
@@ -40,7 +41,7 @@ def stage(rows: DataFrame, table: VersionedTable, embedder: embed.Embedder, dry_
     counted = Counters(*sync.counters(diff).first())
     if not counted.upserted:
         return counted
-    staged = embedder.embed(diff.where("changed").drop("changed"), "document").withColumns({"embedding_model": F.lit(embedder.model), "embedding_version": F.lit(embedder.version), "updated_at": F.current_timestamp()})
+    staged = embedder.embed(diff.where("changed").drop("changed"), "document").withColumns({"embedding_model": F.lit(embedder.model), "embedding_version": F.lit(embedder.version), "updated_at": F.lit(as_of) if as_of else F.current_timestamp()})
     if dry_run:
         staged.write.format("noop").mode("overwrite").save()
         log.info("dry run: prepared %s upserts", counted.upserted)
@@ -94,9 +95,5 @@ def main(arguments: list[str] | None = None, session: Callable[[], SparkSession]
     return sync_source(spark, a.kind, a.source, VersionedTable(spark, a.table), embedder, load_catalogue(spark, a.catalogue) if a.catalogue else None, a.dry_run, **options)
 
 
-def added(a: Counters, b: Counters) -> Counters:
-    return replace(a, processed=a.processed + b.processed, skipped=a.skipped + b.skipped, upserted=a.upserted + b.upserted, errors=a.errors + b.errors)
-
-
 if __name__ == "__main__":
     main()

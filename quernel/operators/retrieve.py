@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize
+from ..functions.text import fold, normalize
 from ..functions.vectors import cosine, norm
 
 #: A query table of at most this many rows is broadcast; beyond it, blocks of queries meet blocks of rows.
@@ -63,10 +63,12 @@ def batch_top_k(items: DataFrame, queries: DataFrame, k: int, key: str = "vec_id
     broadcast against all rows; a larger one is cut into blocks, each of which meets every block of rows on a block number."""
     a = items.select(key, vector).withColumn("_n", norm(F.col(vector)))
     b = queries.select(query_key, query_vector).withColumn("_m", norm(F.col(query_vector)))
-    if queries.count() <= BROADCAST_QUERIES:
+    n = queries.count()
+    if n <= BROADCAST_QUERIES:
         met = a.crossJoin(F.broadcast(b))
     else:
-        width = a.sparkSession.sparkContext.defaultParallelism
+        # Each row meets each block of queries once; blocks are no larger than a broadcast table may be.
+        width = -(-n // BROADCAST_QUERIES)
         met = a.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(width - 1)))).join(b.withColumn("_b", F.pmod(F.xxhash64(query_key), F.lit(width)).cast("int")), "_b")
     scored = met.select(query_key, key, cosine(F.col(vector), F.col(query_vector), F.col("_n"), F.col("_m")).alias("score")).where("score is not null")
     order = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
@@ -75,5 +77,5 @@ def batch_top_k(items: DataFrame, queries: DataFrame, k: int, key: str = "vec_id
 
 def tie_boost(df: DataFrame, city: str | None, category: str | None) -> list[Column]:
     """Order by score, then by a match of city, then of category; a match never changes the score."""
-    hit = lambda c, v: F.when(F.lower(c) == (v or "").lower(), 1).otherwise(0) if v else F.lit(0)
+    hit = lambda c, v: F.when(fold(F.col(c)) == v.casefold(), 1).otherwise(0) if v else F.lit(0)
     return [F.desc("score"), F.desc(hit("city", city)), F.desc(hit("category", category))]

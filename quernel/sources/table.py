@@ -47,6 +47,12 @@ class VersionedTable:
         return dimension is None or bool(df.agg(F.coalesce(F.every(F.size(vector) == dimension), F.lit(True))).first()[0])
 
 
+def ready(tables: dict[str, VersionedTable], columns: set[str] | dict[str, str], dimension: int | None = None) -> dict[str, bool]:
+    """Whether each table can be read as expected, and under "ready" whether all can."""
+    found = {name: table.verify(columns, dimension) for name, table in tables.items()}
+    return found | {"ready": all(found.values())}
+
+
 def checked_name(name: str) -> str:
     """The name of a table or column, if it is letters, digits and underscores and starts with no digit; ValueError otherwise."""
     if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", name):
