@@ -58,10 +58,11 @@ def top_k(items: DataFrame, query: Sequence[float], k: int, key: str = "vec_id",
     return items.select(key, cosine(F.col(vector), q).alias("score")).where("score is not null").orderBy(F.desc("score"), key).limit(k)
 
 
-def batch_top_k(items: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", query_key: str = "qid", query_vector: str = "qv") -> DataFrame:
-    """query_key, rank, key, score for every query. Each norm is computed once. A query table that is counted and small is
+def batch_top_k(items: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", query_key: str = "qid", query_vector: str = "qv", tie: str | None = None) -> DataFrame:
+    """query_key, rank, key, score for every query; equal scores by the column tie (the order rows came in, for instance), or else
+    by key. Each norm is computed once. A query table that is counted and small is
     broadcast against all rows; a larger one is cut into blocks, each of which meets every block of rows on a block number."""
-    a = items.select(key, vector).withColumn("_n", norm(F.col(vector)))
+    a = items.select(key, vector, *([F.col(tie).alias("_tie")] if tie else [])).withColumn("_n", norm(F.col(vector)))
     b = queries.select(query_key, query_vector).withColumn("_m", norm(F.col(query_vector)))
     n = queries.count()
     if n <= BROADCAST_QUERIES:
@@ -70,9 +71,9 @@ def batch_top_k(items: DataFrame, queries: DataFrame, k: int, key: str = "vec_id
         # Each row meets each block of queries once; blocks are no larger than a broadcast table may be.
         width = -(-n // BROADCAST_QUERIES)
         met = a.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(width - 1)))).join(b.withColumn("_b", F.pmod(F.xxhash64(query_key), F.lit(width)).cast("int")), "_b")
-    scored = met.select(query_key, key, cosine(F.col(vector), F.col(query_vector), F.col("_n"), F.col("_m")).alias("score")).where("score is not null")
-    order = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    scored = met.select(query_key, key, *(["_tie"] if tie else []), cosine(F.col(vector), F.col(query_vector), F.col("_n"), F.col("_m")).alias("score")).where("score is not null")
+    order = Window.partitionBy(query_key).orderBy(F.desc("score"), *(["_tie"] if tie else []), key)
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("_tie")
 
 
 def tie_boost(df: DataFrame, city: str | None, category: str | None) -> list[Column]:

@@ -4,11 +4,12 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from quernel.engine import Config, Engine, Geo, cache_key, check_request, trace_ids, wider
+from quernel.engine import Config, Engine, Expiring, Geo, cache_key, check_request, trace_ids, wider
 from quernel.functions.text import place_tokens
 from quernel.operators import embed, metrics, policy, rank, retrieve, sync
 from quernel.plans import catalogue
 from quernel.sources import fixtures
+from quernel.sources.table import VersionedTable, ready
 
 
 def test_bm25_pins(spark):
@@ -44,6 +45,30 @@ def test_batch_is_the_same_as_single_queries_and_blocks(spark, monkeypatch):
     assert rows(retrieve.batch_top_k(items, queries, 3)) == batch
 
 
+def test_equal_scores_in_the_order_of_a_column(spark):
+    items = spark.createDataFrame([(1, [1.0], 3), (2, [2.0], 1), (3, [3.0], 2)], "vec_id long, embedding array<double>, ordinal int")
+    queries = spark.createDataFrame([(0, [1.0])], "qid long, qv array<double>")
+    ids = lambda **o: [r["vec_id"] for r in retrieve.batch_top_k(items, queries, 3, **o).orderBy("rank").collect()]
+    assert ids() == [1, 2, 3] and ids(tie="ordinal") == [2, 3, 1]
+
+
+def test_cache_expires():
+    now = [0.0]
+    cache = Expiring(10, lambda: now[0])
+    cache.set("a", 1)
+    now[0] = 9.0
+    assert cache.get("a") == 1 and cache.get("b") is None
+    now[0] = 11.0
+    assert cache.get("a") is None and not cache.held
+
+
+def test_tables_are_ready(spark, tmp_path):
+    table = VersionedTable(spark, f"{tmp_path}/t")
+    assert ready({"t": table}, {"embedding"}) == {"t": False, "ready": False}
+    table.write(spark.createDataFrame([([1.0, 2.0],)], "embedding array<double>"))
+    assert ready({"t": table}, {"embedding"}, 2) == {"t": True, "ready": True} and not ready({"t": table}, {"embedding"}, 3)["ready"]
+
+
 def test_filters(spark):
     rows = spark.createDataFrame([("1", "Tuxtla", "$", "cena romántica", True), ("2", "tuxtla", "$$", None, False)], "external_id string, city string, price_range string, occasion string, is_active boolean")
     ids = lambda f, m="sql": sorted(r[0] for r in retrieve.apply(rows, f, m).select("external_id").collect())
