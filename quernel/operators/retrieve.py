@@ -69,7 +69,7 @@ def batch_top_k(items: DataFrame, queries: DataFrame, k: int, key: str = "vec_id
         met = a.crossJoin(F.broadcast(b))
     else:
         # Each row meets each block of queries once; blocks are no larger than a broadcast table may be.
-        width = -(-n // BROADCAST_QUERIES)
+        width = -(-n // max(1, BROADCAST_QUERIES))
         met = a.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(width - 1)))).join(b.withColumn("_b", F.pmod(F.xxhash64(query_key), F.lit(width)).cast("int")), "_b")
     scored = met.select(query_key, key, *(["_tie"] if tie else []), cosine(F.col(vector), F.col(query_vector), F.col("_n"), F.col("_m")).alias("score")).where("score is not null")
     order = Window.partitionBy(query_key).orderBy(F.desc("score"), *(["_tie"] if tie else []), key)
