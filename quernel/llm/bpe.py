@@ -31,8 +31,9 @@ from .shingles import slices
 _FAR = 1 << 60
 #: The step of the trie that ends a word, after the 256 bytes.
 _END = 256
-#: Letters of a part of a batch that is encoded at once, about, and those of words that are handled many in step, at most.
-PART, SHORT = 4_000_000, 64
+#: Letters of a part of a batch that is encoded at once, about; those of words that are handled many in step, at most; and of a
+#: table of such words, about.
+PART, SHORT, TABLE = 3_000_000, 64, 200_000
 
 
 def byte_letters() -> list[str]:
@@ -46,6 +47,20 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+@lru_cache(maxsize=1)
+def later_letters() -> str:
+    """Ranges of letters and numbers in regex's tables that have no category in Python's, as in a set of a pattern."""
+    known = regex.compile(r"[\p{L}\p{N}]+")
+    found = [c for run in known.findall("".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))) for c in map(ord, run) if unicodedata.category(chr(c)) == "Cn"]
+    out, start = [], None
+    for a, b in zip(found, [*found[1:], -1], strict=True):
+        start = a if start is None else start
+        if b != a + 1:
+            out.append(f"\\U{start:08x}-\\U{a:08x}")
+            start = None
+    return "".join(out)
+
+
 def binary(offsets: np.ndarray, data: pa.Buffer | bytes) -> pa.Array:
     """Byte strings between neighbouring offsets of the data."""
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), data if isinstance(data, pa.Buffer) else pa.py_buffer(data)])
@@ -140,6 +155,11 @@ class WordBPE:
         self.names = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split").replace(r"\s", r"\p{White_Space}")
         self.words, self.lines = regex.compile(pattern), regex.compile(rf"{pattern}|\n")
+        # Letters and numbers that the pattern's tables know and Python's do not yet: the library doesn't count them as such.
+        later = later_letters()
+        self.later = regex.compile(f"[{later}]") if later else None
+        older = pattern.replace(r"\p{L}", rf"[\p{{L}}--[{later}]]").replace(r"\p{N}", rf"[\p{{N}}--[{later}]]") if later else pattern
+        self.older_words, self.older_lines = regex.compile(older, regex.V1), regex.compile(rf"{older}|\n", regex.V1)
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.letters = byte_letters()
         self.bytes_of = {c: b for b, c in enumerate(self.letters)}
@@ -352,8 +372,8 @@ class WordBPE:
         for width in (8, 12, 16, 24, SHORT):
             members = np.flatnonzero((lengths > done) & (lengths <= width))
             done = width
-            for at in range(0, len(members), 20_000):
-                part = members[at : at + 20_000]
+            for at in range(0, len(members), TABLE // width):
+                part = members[at : at + TABLE // width]
                 n = lengths[part]
                 cols = np.arange(width)
                 inside = cols < n[:, None]
@@ -390,11 +410,17 @@ class WordBPE:
             if part in self.special:
                 out.append(part)
             elif part:
-                part = unicodedata.normalize("NFC", part)
-                low = "".join(map(str.lower, part)) if "Σ" in part else part.lower()
-                out += self.words.findall(low)
+                out += self.cut(part, False)
         return out
 
+    def cut(self, text: str, lines: bool) -> list[str]:
+        """The words of a text without special tokens, with line ends among them where `lines` is set."""
+        text = unicodedata.normalize("NFC", text)
+        low = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
+        if self.later and not low.isascii() and self.later.search(low):
+            return (self.older_lines if lines else self.older_words).findall(low)
+        return (self.lines if lines else self.words).findall(low)
+
     def learn_words(self, words: pa.Array) -> tuple[pa.Array, pa.Array]:
         """Ids (as little-endian bytes) and decoded text (each token with a space after it) of each word; a line end has none."""
         ids, first = self.encode_words(pc.if_else(pc.equal(words, "\n"), "", words))
@@ -409,8 +435,7 @@ class WordBPE:
         tokens are cut on their own."""
         rows = chunks.to_pylist()
         odd = {i: self.pieces(c) for i, c in enumerate(rows) if "<|" in c}
-        blob = unicodedata.normalize("NFC", "\n".join([c if i not in odd else "" for i, c in enumerate(rows)] if odd else rows) + "\n")
-        words = self.lines.findall("".join(map(str.lower, blob)) if "Σ" in blob else blob.lower())
+        words = self.cut("\n".join([c if i not in odd else "" for i, c in enumerate(rows)] if odd else rows) + "\n", True)
         if odd:
             ends = [k for k, w in enumerate(words) if w == "\n"]
             for i in sorted(odd, reverse=True):

@@ -2,77 +2,67 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
-import tempfile
-import uuid
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.written import Scratch
+
 #: The characters that separate words: space and \t \n \v \f \r.
 SPACES = " \t\n\x0b\x0c\r"
 #: A word, as a Java and Python pattern.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset, the context's own
-    checkpoint folder, or as a last resort (tests on one machine) a new temporary folder."""
-    sc = spark.sparkContext
-    if named := spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir"):
-        return named.rstrip("/")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quernel-"))
-    return str(sc.getCheckpointDir()).rstrip("/")
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    """Remove a written table through the Hadoop file system it lies on."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
+    """True where crc32 of the id as decimal text leaves the remainder; a null id is not held out."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-class Scratch:
-    """Intermediate tables as Parquet in the shared folder: they cut the lineage and survive a lost executor.
+def labelled(docs: DataFrame, labels: DataFrame, column: str, modulus: int, remainder: int, most: int, text: str, scratch: Scratch) -> DataFrame:
+    """doc_id, text, y of at most `most` labelled documents that are not held out, chosen by hash: a written, bounded table.
 
-    keep(df) writes df and returns the table read again; free(table) deletes it when nothing lazy needs it any more.
-    What is never freed goes when the driver ends.
+    Of several labels of a document the largest counts, of several texts under an id the one with the least hash; null labels
+    and ids take no part.
     """
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(column).cast("int").alias("y"))
+    known = known.where(~held_out(F.col("doc_id"), modulus, remainder)).groupBy("doc_id").agg(F.max("y").alias("y"))
+    # The chosen ones are `most` rows of two numbers at most, so they may be broadcast.
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    one = rows.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    return scratch.keep(one.select("doc_id", "t.text", "y"))
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/quernel-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
-        atexit.register(self._end)
 
-    def _end(self) -> None:
-        with contextlib.suppress(Exception):
-            delete(self.spark, self.root)
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or one made from it that no column of the table has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
-    def keep(self, df: DataFrame, *partition_by: str) -> DataFrame:
-        path = f"{self.root}/{uuid.uuid4().hex}"
-        df.write.parquet(path, partitionBy=list(partition_by) or None)
-        table = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(table)] = path
-        table._quernel_path = path
-        return table
 
-    def free(self, *tables: DataFrame) -> None:
-        for table in tables:
-            if path := self.paths.pop(id(table), None):
-                delete(self.spark, path)
+def tidy(run: Callable) -> Callable:
+    """A function over batches that gives memory back at the end of its partition: Python workers are used again, and what one
+    of them keeps stands beside all later stages."""
 
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
-    """True where crc32 of the id as decimal text leaves the remainder; a null id is not held out."""
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
+    return tidied
 
 
 def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, rows: int = 2048) -> DataFrame:
@@ -90,7 +80,7 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, r
                 out = fn(batch.slice(at, rows))
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(out.values(), arrow, strict=True)], schema=arrow)
 
-    return df.mapInArrow(run, spark_schema)
+    return df.mapInArrow(tidy(run), spark_schema)
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:

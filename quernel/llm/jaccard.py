@@ -17,10 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, tidy
 from .shingles import shingle_sets, slices
 
 #: Share of all shingles at which one counts as common, which bounds their number, and the bound of the list sent out.
@@ -42,23 +43,26 @@ def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
         held, size = [], 0
 
         def told() -> pa.RecordBatch:
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
-            often = counts > max(2, COMMON * size)
-            return pa.RecordBatch.from_arrays([pa.array(values[often]), pa.array(counts[often])], names=["tok", "n"])
+            values, least = np.concatenate(held), max(2, int(COMMON * size))
+            held.clear()
+            values.sort()
+            often = np.unique(values[least:][values[least:] == values[:-least]])  # what stands there more than `least` times
+            counts = np.searchsorted(values, often, "right") - np.searchsorted(values, often)
+            return pa.RecordBatch.from_arrays([pa.array(often), pa.array(counts)], names=["tok", "n"])
 
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in slices(texts):
-                for s in shingle_sets(texts[a:b], words):
+            texts = batch.column(0)
+            for a, b in slices(pc.binary_length(texts).fill_null(0).to_pylist()):
+                for s in shingle_sets(texts.slice(a, b - a).to_pylist(), words):
                     held.append(s)
                     size += len(s)
                 if size > 3_000_000:
                     yield told()
-                    held, size = [], 0
+                    size = 0
         if held:
             yield told()
 
-    found = docs.select("text").mapInArrow(count, "tok bigint, n bigint").groupBy("tok").agg(F.sum("n").alias("n"))
+    found = docs.select("text").mapInArrow(tidy(count), "tok bigint, n bigint").groupBy("tok").agg(F.sum("n").alias("n"))
     top = found.orderBy(F.desc("n"), "tok").limit(MOST_COMMON).toArrow()
     tok, n = top.column("tok").to_numpy(), top.column("n").to_numpy()
     order = np.argsort(tok)
@@ -66,16 +70,17 @@ def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
 
 
 def prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], words: int, share: int) -> DataFrame:
-    """doc_id, n, cid (of the set), gid (of prefix and size), prefix, and the order's place of its last shingle (lc, lh)."""
+    """doc_id, text_hash, n, cid (of the set), gid (of prefix and size), prefix, and the order's place of its last shingle (lc, lh)
+    of the rows (doc_id, text, text_hash)."""
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, often = sent.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
+            texts = batch.column(1)
+            for a, b in slices(pc.binary_length(texts).fill_null(0).to_pylist()):
                 rows = []
-                for s in shingle_sets(texts[a:b], words):
+                for s in shingle_sets(texts.slice(a, b - a).to_pylist(), words):
                     n = len(s)
                     if not n:
                         rows.append((0, None, None, None, None, None))
@@ -87,20 +92,24 @@ def prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], words: int,
                     head = s[order]
                     rows.append((n, digest(s), digest(np.concatenate([head, [n]])), head, int(count[order[-1]]), int(head[-1])))
                 n, cid, gid, head, lc, lh = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(gid, pa.int64()), pa.array(head, pa.list_(pa.int64())), pa.array(lc, pa.int64()), pa.array(lh, pa.int64())], names=["doc_id", "n", "cid", "gid", "prefix", "lc", "lh"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(gid, pa.int64()), pa.array(head, pa.list_(pa.int64())), pa.array(lc, pa.int64()), pa.array(lh, pa.int64())], names=["doc_id", "text_hash", "n", "cid", "gid", "prefix", "lc", "lh"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, cid bigint, gid bigint, prefix array<bigint>, lc bigint, lh bigint")
+    return docs.mapInArrow(tidy(run), "doc_id bigint, text_hash bigint, n bigint, cid bigint, gid bigint, prefix array<bigint>, lc bigint, lh bigint")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, words: int, share: int) -> DataFrame:
-    """The linked ones of the pairs (a, b, a_doc, b_doc) of class ids and documents that hold their sets."""
-    need = pairs.select(F.col("a_doc").alias("doc_id")).union(pairs.select(F.col("b_doc").alias("doc_id"))).distinct()
+def verified(pairs: DataFrame, docs: DataFrame, repeated: DataFrame | None, scratch: Scratch, words: int, share: int) -> DataFrame:
+    """The linked ones of the pairs (a, b, a_doc, b_doc) of class ids and documents that hold their sets. repeated: ids of more
+    than one row."""
+    need = pairs.select(F.col("a_doc").alias("doc_id")).union(pairs.select(F.col("b_doc").alias("doc_id")))
     # Buckets of the needed ids are BUCKETS rows at most, whatever the input, so they may be broadcast: most texts that are not
-    # needed stay where they are, and the exact join deals out the rest.
+    # needed stay where they are, and the exact joins deal out the rest.
     bucket = lambda: F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).alias("bucket")
-    near = docs.select("doc_id", "text", bucket()).join(F.broadcast(need.select(bucket()).distinct()), "bucket", "left_semi").drop("bucket")
-    texts = scratch.keep(near.join(need, "doc_id", "left_semi"))
-    both = pairs.join(texts.select(F.col("doc_id").alias("a_doc"), F.col("text").alias("a_text")), "a_doc").join(texts.select(F.col("doc_id").alias("b_doc"), F.col("text").alias("b_text")), "b_doc").select("a", "b", "a_text", "b_text")
+    marks = scratch.keep(need.select(bucket()).distinct())
+    texts = docs.select("doc_id", "text", "text_hash", bucket()).join(F.broadcast(marks), "bucket", "left_semi").drop("bucket")
+    if repeated is not None:  # one row for each text of an id, so that repeated rows don't multiply
+        texts = texts.join(repeated, "doc_id", "left_anti").unionByName(texts.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text_hash"]))
+    side = lambda s: texts.select(F.col("doc_id").alias(f"{s}_doc"), F.col("text").alias(f"{s}_text"))
+    both = pairs.join(side("a"), "a_doc").join(side("b"), "b_doc").select("a", "b", "a_text", "b_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,8 +124,8 @@ def verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, words: int, sh
                     good.append(100 * inter >= share * (len(x) + len(y) - inter) and digest(x) == a[i] and digest(y) == b[i])
                 yield pa.RecordBatch.from_arrays([pa.array([v for v, g in zip(a, good, strict=True) if g], pa.int64()), pa.array([v for v, g in zip(b, good, strict=True) if g], pa.int64())], names=["a", "b"])
 
-    out = scratch.keep(both.mapInArrow(run, "a bigint, b bigint").distinct())
-    scratch.free(texts)
+    out = scratch.keep(both.mapInArrow(tidy(run), "a bigint, b bigint").distinct())
+    scratch.free(marks)
     return out
 
 
@@ -130,8 +139,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         new = scratch.keep(hop.alias("x").join(hop.select(F.col("v").alias("w"), F.col("c").alias("far")), F.col("c") == F.col("w"), "left").select("v", "was", F.least("c", F.coalesce("far", "c")).alias("c")))
         changed = new.where("c <> was").limit(1).count()
         scratch.free(hop, labels)
-        labels = new.select("v", "c")
-        scratch.paths[id(labels)] = scratch.paths.pop(id(new))
+        labels = scratch.at(new._quernel_path, new.select("v", "c"))
         if not changed:
             scratch.free(both)
             return labels
@@ -146,14 +154,19 @@ def enough(c: str, share: int) -> F.Column:
 
 
 def link(docs: DataFrame, scratch: Scratch, words: int = 5, share: int = 80, text: str = "text", stars: int = 2) -> DataFrame:
-    """doc_id, n_shingles, component_id and class_id of every row.
+    """doc_id, n_shingles, component_id, class_id, component (the smallest class id of it) and text_hash of every row.
 
     Null and empty texts have no shingles and are linked with nothing; rows with a null id are linked with nothing and get a
-    null component. Repeated rows are of one class. Texts are whole. An empty table gives an empty result.
+    null component_id; both have no component. Repeated rows are of one class, rows that share an id and differ in text of a
+    class each. Texts are whole, however long. Other columns are ignored, whatever their names. An empty table gives an
+    empty result.
     """
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    docs = docs.withColumn("text_hash", F.xxhash64("text"))
     signed = scratch.keep(prefixes(docs, common_shingles(docs, words), words, share))
     live = signed.where("n > 0 and doc_id is not null")
+    repeated = scratch.keep(live.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id"))
+    repeated = repeated if repeated.limit(1).count() else None
     # Classes and groups: partly aggregated minima, so a hot class is one row for each task.
     classes = scratch.keep(live.groupBy("cid", "n", "gid").agg(F.min("doc_id").alias("doc")))
     groups = classes.groupBy("gid", "n").agg(F.min(F.struct("doc", "cid")).alias("lead"), F.count("*").alias("members")).select("gid", F.col("lead.doc").alias("doc"), F.col("lead.cid").alias("cid"), "members")
@@ -163,8 +176,11 @@ def link(docs: DataFrame, scratch: Scratch, words: int = 5, share: int = 80, tex
     # that a partner at least as large needs.
     short = F.col("n") - F.ceil(2.0 * share * F.col("n") / (100 + share)) + 1
     postings = lead.select("gid", short.alias("short"), F.posexplode("prefix").alias("pos", "tok")).select("gid", "tok", (F.col("pos") < F.col("short")).alias("early"))
-    shared = postings.groupBy("tok").agg(F.min("gid").alias("lo"), F.max("gid").alias("hi")).where("lo < hi").select("tok")
+    # Tables with one row for a shingle or a component are written before rows meet them, here and below: both sides of such a
+    # join are plain exchanges then, and Spark can split the rows of a frequent shingle or a large component.
+    shared = scratch.keep(postings.groupBy("tok").agg(F.min("gid").alias("lo"), F.max("gid").alias("hi")).where("lo < hi").select("tok"))
     post = scratch.keep(postings.join(shared, "tok", "left_semi"))
+    scratch.free(shared)
     # How central a group is: the share of its prefix that other groups hold too.
     central = scratch.keep(post.groupBy("gid").agg(F.count("*").alias("k")).join(facts.select("gid", "p"), "gid").select("gid", (F.col("k") / F.col("p")).alias("central")))
     side = lambda x: [F.col("gid").alias(f"{x}_gid"), *(F.col(c).alias(f"{x}_{c}") for c in ("n", "p", "lc", "lh")), F.col("cid").alias(x), F.col("doc_id").alias(f"{x}_doc")]
@@ -176,16 +192,20 @@ def link(docs: DataFrame, scratch: Scratch, words: int = 5, share: int = 80, tex
         # A group meets the most central group of each of its shingles' lists that is not of its component, and of those
         # it meets by this way the one that shares the most shingles.
         rank = F.struct(F.col("central") if turn == 0 else F.col("central") * (F.pmod(F.xxhash64("gid", F.lit(turn)), F.lit(1000)) + 1), "gid")
-        hubs = post.join(central, "gid").groupBy("tok").agg(F.max(rank)["gid"].alias("hub"))
+        hubs = scratch.keep(post.join(central, "gid").groupBy("tok").agg(F.max(rank)["gid"].alias("hub")))
         met = post.join(hubs, "tok").where("gid <> hub").groupBy("gid", "hub").agg(F.count("*").alias("c"))
         met = met.join(facts.select(*side("a")), F.col("gid") == F.col("a_gid")).join(facts.select(*side("b")), F.col("hub") == F.col("b_gid"))
         if labels is not None:
             met = met.join(labels.select(F.col("v").alias("a"), F.col("c").alias("ca")), "a", "left").join(labels.select(F.col("v").alias("b"), F.col("c").alias("cb")), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
         best = met.where(enough("c", share)).groupBy("a").agg(F.max(F.struct("c", "b", "a_doc", "b_doc")).alias("x")).select("a", "x.b", "x.a_doc", "x.b_doc")
         pairs = scratch.keep(best.unionByName(inner) if turn == 0 else best)
-        found = verified(pairs, docs, scratch, words, share)
+        scratch.free(hubs)
+        found = verified(pairs, docs, repeated, scratch, words, share)
         scratch.free(pairs)
-        edges = found if edges is None else scratch.keep(edges.union(found))
+        if edges is not None:
+            found, old = scratch.keep(edges.union(found)), (edges, found, labels)
+            scratch.free(*old)
+        edges = found
         labels = components(edges, scratch)
     # Pairs across components: lists first meet as components, then their members. A group of several members has a list of
     # its own, which every one of them passes on to verification.
@@ -193,9 +213,12 @@ def link(docs: DataFrame, scratch: Scratch, words: int = 5, share: int = 80, tex
     lists = post.unionByName(own)
     each = lists.join(classes.select("gid", "cid", "n", "doc"), "gid").join(labels.select(F.col("v").alias("cid"), "c"), "cid", "left").withColumn("comp", F.coalesce("c", "cid")).drop("c")
     each = scratch.keep(each.select("tok", "comp", "cid", "n", "doc", "early"))
+    scratch.free(post, central)
     kinds = each.groupBy("tok", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("k"), F.max("early").alias("any"))
-    several = kinds.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tok")
-    kinds = scratch.keep(kinds.join(several, "tok"))
+    kinds = scratch.keep(kinds)
+    several = scratch.keep(kinds.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tok"))
+    every, kinds = kinds, scratch.keep(kinds.join(several, "tok"))
+    scratch.free(every, several)
     # The component with fewer members in a list is expanded first, so a single document meets a large component once.
     x = kinds.select("tok", *(F.col(c).alias(f"x_{c}") for c in ("comp", "least", "most", "k", "any")))
     y = kinds.select("tok", *(F.col(c).alias(f"y_{c}") for c in ("comp", "least", "most", "k", "any")))
@@ -211,9 +234,17 @@ def link(docs: DataFrame, scratch: Scratch, words: int = 5, share: int = 80, tex
     with_head = lambda s: heads.select(F.col("cid").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in ("doc", "p", "n", "lc", "lh", "prefix")))
     met = met.join(with_head("a"), "a").join(with_head("b"), "b").withColumn("c", F.size(F.array_intersect("a_prefix", "b_prefix")))
     pairs = scratch.keep(met.where(enough("c", share)).select("a", "b", "a_doc", "b_doc"))
-    edges = scratch.keep(edges.union(verified(pairs, docs, scratch, words, share)))
+    scratch.free(each, kinds, lead, facts)
+    found = verified(pairs, docs, repeated, scratch, words, share)
+    scratch.free(pairs)
+    edges, old = scratch.keep(edges.union(found)), (edges, found, labels)
+    scratch.free(*old)
     labels = components(edges, scratch)
-    parts = classes.join(labels.select(F.col("v").alias("cid"), "c"), "cid", "left").select("cid", F.coalesce("c", "cid").alias("comp"), "doc")
-    ids = parts.join(parts.groupBy("comp").agg(F.min("doc").alias("component_id")), "comp").select("cid", "component_id")
-    named = signed.select("doc_id", F.col("n").alias("n_shingles"), "cid").join(scratch.keep(ids), "cid", "left")
-    return named.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("cid").alias("class_id"))
+    scratch.free(edges)
+    parts = scratch.keep(classes.join(labels.select(F.col("v").alias("cid"), "c"), "cid", "left").select("cid", F.coalesce("c", "cid").alias("comp"), "doc"))
+    least = scratch.keep(parts.groupBy("comp").agg(F.min("doc").alias("component_id")))
+    ids = scratch.keep(parts.join(least, "comp").select("cid", "comp", "component_id"))
+    scratch.free(parts, least, classes, labels)
+    named = signed.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "cid").join(ids, "cid", "left")
+    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    return named.select("doc_id", "n_shingles", F.when(linked, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("cid").alias("class_id"), F.when(linked, F.col("comp")).alias("component"), "text_hash")

@@ -21,23 +21,42 @@ _SPACE[[32, *range(9, 14)]] = True
 _BASE = np.uint64(0x5851F42D4C957F2D)
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all texts, A-Z in lower case, and where each text's words begin (one more entry at the end)."""
-    raw = [(t or "").encode("utf-8").lower() for t in texts]
-    data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
+#: Bytes of a part whose words are hashed at once, about; a part ends at white space.
+_PART = 500_000
+
+
+def _hashed(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of some bytes that end in white space, and where they begin."""
     space = _SPACE[data]
-    ends_of_texts = np.cumsum([len(r) + 1 for r in raw])
     inside = ~space
     starts = np.flatnonzero(inside & np.concatenate([[True], space[:-1]]))
-    first = np.searchsorted(starts, np.concatenate([[0], ends_of_texts]))
     if not len(starts):
-        return np.empty(0, np.uint64), first
+        return np.empty(0, np.uint64), starts
     lengths = np.flatnonzero(space & np.concatenate([[False], inside[:-1]])) - starts
     letters = _LETTER[data[inside]]
     begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     place = np.arange(len(letters)) - np.repeat(begin, lengths)
     power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(lengths.max()), _BASE)]))
-    return mixed(np.add.reduceat(letters * power[place], begin) + lengths.astype(np.uint64)), first
+    return mixed(np.add.reduceat(letters * power[place], begin) + lengths.astype(np.uint64)), starts
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of all texts, A-Z in lower case, and where each text's words begin (one more entry at the end).
+    Long texts are hashed in parts, so memory beside the texts is some 8 bytes a word."""
+    raw = [(t or "").encode("utf-8").lower() for t in texts]
+    data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
+    ends_of_texts = np.cumsum([len(r) + 1 for r in raw])
+    hashes, starts, at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
+    while at < len(data):
+        end = min(len(data), at + _PART)
+        while end < len(data) and not _SPACE[data[end - 1]]:
+            more = np.flatnonzero(_SPACE[data[end : end + _PART]])
+            end = end + int(more[0]) + 1 if len(more) else min(len(data), end + _PART)
+        h, s = _hashed(data[at:end])
+        hashes.append(h)
+        starts.append(s + at)
+        at = end
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), np.concatenate([[0], ends_of_texts]))
 
 
 def shingle_sets(texts: list[str | None], n: int = 5) -> list[np.ndarray]:
