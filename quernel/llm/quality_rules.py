@@ -41,12 +41,17 @@ transform(array(words), w -> if(size(w) < 9, 0L,
 """
 
 
-def measured(docs: DataFrame, scratch: Scratch, text: str = "text", stratum: str = "lang") -> DataFrame:
-    """doc_id, stratum and the counts of every text; null and empty texts have no words and no lines."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(stratum).cast("string").alias("stratum"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+#: Buckets of labelled ids that are sent out before texts are counted for the cutoffs.
+BUCKETS = 1 << 20
+
+
+def counted(docs: DataFrame, text: str = "text", stratum: str = "lang", whole: bool = False) -> DataFrame:
+    """doc_id, stratum and the counts of every text, and the row itself (a struct) where `whole` is set; null and empty texts have
+    no words and no lines."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(stratum).cast("string").alias("stratum"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if whole else []))
     rows = rows.withColumn("words", F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != ""))
     line = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    counted = rows.select(
+    counts = rows.select(
         "doc_id",
         "stratum",
         F.size("words").cast("bigint").alias("n_words"),
@@ -54,10 +59,20 @@ def measured(docs: DataFrame, scratch: Scratch, text: str = "text", stratum: str
         (F.length("text") - F.length(F.regexp_replace("text", r"[#*$%&|<>]", ""))).cast("bigint").alias("n_symbols"),
         F.transform(F.array(line), lambda x: F.struct(F.size(x).cast("bigint").alias("n"), F.size(F.array_distinct(x)).cast("bigint").alias("d")))[0].alias("lines"),
         F.expr(_REPEATED).alias("n_repeat_words"),
+        *(["row"] if whole else []),
     )
-    counted = counted.withColumns({"n_lines": F.col("lines.n"), "n_dup_lines": F.col("lines.n") - F.col("lines.d")}).drop("lines")
-    # A table of a few numbers a row: the texts are read and cut into words once, for the cutoffs and for the verdicts.
-    return scratch.keep(counted.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))))
+    # Exploded from an array of one, so that no filter on counts is pushed below them and makes them once more.
+    once = counts.select(*(["row"] if whole else []), F.explode(F.array(F.struct(*(c for c in counts.columns if c != "row")))).alias("c")).select("c.*", *(["row"] if whole else []))
+    once = once.withColumns({"n_lines": F.col("lines.n"), "n_dup_lines": F.col("lines.n") - F.col("lines.d")}).drop("lines")
+    return once.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
+
+
+def labelled_only(docs: DataFrame, labels: DataFrame, text: str, stratum: str) -> DataFrame:
+    """doc_id, text and stratum of the documents that may have a label: buckets of the labelled ids are BUCKETS rows at most,
+    whatever the input, so they may be broadcast, and no text moves. The join of counts with labels is exact."""
+    bucket = F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(BUCKETS)).alias("bucket")
+    marks = labels.where("doc_id is not null and quality is not null").select(bucket).distinct()
+    return docs.select(F.col("doc_id"), F.col(text), F.col(stratum), bucket).join(F.broadcast(marks), "bucket", "left_semi").drop("bucket")
 
 
 def rates() -> dict[str, Column]:
@@ -120,16 +135,25 @@ def joint_cutoffs(counts: DataFrame, labels: DataFrame, scratch: Scratch, share:
     return steps.join(best, F.col("stratum").eqNullSafe(F.col("s")) & (F.col("step") <= F.col("last"))).groupBy("stratum", "rate").agg(F.min("cutoff").alias("cutoff"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, scratch: Scratch, share: float = 0.02, delta: float = 0.05, text: str = "text", stratum: str = "lang", joint: bool = False) -> DataFrame:
-    """doc_id, the counts, base_failed, kept and the rates that reject (array) of every row; by joint_cutoffs where joint is set.
+def judge(docs: DataFrame, labels: DataFrame, scratch: Scratch, share: float = 0.02, delta: float = 0.05, text: str = "text", stratum: str = "lang", joint: bool = False, whole: bool = False) -> DataFrame:
+    """doc_id, the counts, base_failed, kept and the rates that reject (array) of every row; by joint_cutoffs where joint is set;
+    with the row itself as the struct `row` where whole is set.
 
-    Null strata are a stratum of their own; repeated rows give repeated results; without labels only the base rules reject.
+    Each row is judged by its own text, also where rows share an id. Null strata are a stratum of their own; null and empty texts
+    fail the base rules; texts are whole, however long; repeated rows give repeated results; other columns are ignored, whatever
+    their names; without labels only the base rules reject; an empty table gives an empty result.
     """
-    counts = measured(docs, scratch, text, stratum)
+    if whole:
+        # Rows aren't written with their counts: those that may be labelled are counted for the cutoffs, and all in the pass that
+        # judges them.
+        counts, every = scratch.keep(counted(labelled_only(docs, labels, text, stratum), text, stratum)), counted(docs, text, stratum, True)
+    else:
+        # A table of a few numbers a row: the texts are read and cut into words once, for the cutoffs and for the verdicts.
+        counts = every = scratch.keep(counted(docs, text, stratum))
     # One row for each stratum, with the cutoff of each rate (none: nothing is above it).
     chosen = joint_cutoffs(counts, labels, scratch, share, delta) if joint else cutoffs(counts, labels, share, delta)
     picked = chosen.groupBy(F.col("stratum").alias("s")).agg(*(F.max(F.when(F.col("rate") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in GRIDS))
-    met = counts.join(scratch.keep(picked), F.col("stratum").eqNullSafe(F.col("s")), "left")
+    met = every.join(scratch.keep(picked), F.col("stratum").eqNullSafe(F.col("s")), "left")
     reasons = F.filter(F.array(*(F.when(c > F.col(f"cut_{r}"), F.lit(r)) for r, c in rates().items())), lambda x: x.isNotNull())
     met = met.withColumn("reasons", reasons)
-    return met.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.size("reasons") == 0)).alias("kept"), "reasons")
+    return met.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.size("reasons") == 0)).alias("kept"), "reasons", *(["row"] if whole else []))
