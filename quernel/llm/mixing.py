@@ -67,7 +67,9 @@ def plan(docs: DataFrame, scratch: Scratch, seed: int = 17, most: float = 3.0, t
     """
     items = docs.select(F.col("source").cast("string").alias("source"), F.col("doc_id").cast("bigint").alias("doc_id"), words_in(text).alias("size"))
     items = scratch.keep(items.groupBy("source", "doc_id", "size").agg(F.count("*").alias("m")))
-    goals = targets(items.groupBy("source").agg(F.sum(F.col("m") * F.col("size")).alias("source_size")), most)
+    # Tables with a row for each source are written, so that Spark knows their size: small ones are broadcast and no row is dealt
+    # by its source, large ones meet the rows in joins that it can split.
+    goals = scratch.keep(targets(items.groupBy("source").agg(F.sum(F.col("m") * F.col("size")).alias("source_size")), most))
     share = goals.select(F.col("source").alias("s"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("share"))
     ideal = items.join(share, F.col("source").eqNullSafe(F.col("s"))).withColumn("ideal", F.col("m") * F.col("share"))
     near = F.abs(F.col("ideal") - F.round("ideal")) < 1e-9
@@ -76,7 +78,7 @@ def plan(docs: DataFrame, scratch: Scratch, seed: int = 17, most: float = 3.0, t
     ideal = ideal.select("source", "doc_id", "size", "m", "base", F.when(near | (F.col("size") == 0), 0.0).otherwise(F.col("ideal") - F.col("base")).alias("p"))
     decided, open_ = ideal.where("p = 0"), ideal.where("p > 0")
     for level in range(64):
-        counts = open_.groupBy(F.col("source").alias("s")).agg(F.count("*").alias("n"))
+        counts = scratch.keep(open_.groupBy(F.col("source").alias("s")).agg(F.count("*").alias("n")))
         if (counts.agg(F.max("n")).first()[0] or 0) <= 1:
             break
         dealt = open_.join(counts, F.col("source").eqNullSafe(F.col("s"))).withColumn("chunk", F.expr(f"pmod(xxhash64(doc_id, size, {seed}, {level}), ceil(n / 32.0))"))
@@ -101,16 +103,31 @@ def mix(docs: DataFrame, scratch: Scratch, **options: int) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (each_row() * F.col("size")).alias("taken"))
 
 
+#: Rows of one id, source and size that are numbered in one task, about.
+TOGETHER = 100_000
+
+
 def mixed(docs: DataFrame, scratch: Scratch, text: str = "text", **options: int) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it, with their own columns."""
-    columns = docs.columns
+    """The rows of docs, each as often as the mix takes it, with their own columns and no others, whatever their names.
+
+    Null and empty texts have no words and are not taken. Rows that repeat an id, source and size share their copies, the first
+    of them in the order of the input one more; they are numbered in parts, so that no such group fills a task. An empty table
+    gives an empty one.
+    """
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    keyed = docs.select(F.col("source").cast("string").alias("source"), F.col("doc_id").cast("bigint").alias("doc_id"), words_in(text).alias("size"), F.monotonically_increasing_id().alias("place"), row.alias("row"))
     done = scratch.keep(plan(docs, scratch, text=text, **options).where("copies > 0"))
-    done = done.select(*(F.col(c).alias(f"_{c}") for c in ("source", "doc_id", "size", "m", "copies")))
-    keyed = docs.withColumn("_words", words_in(text))
-    met = keyed.join(done, F.col("source").eqNullSafe(F.col("_source")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("_doc_id")) & (F.col("_words") == F.col("_size")))
-    once = met.where("_m = 1").withColumn("_take", F.col("_copies"))
-    # Rows that repeat an id, source and size are numbered among themselves.
-    order = Window.partitionBy("source", "doc_id", "_words").orderBy(F.xxhash64(text))
-    more = met.where("_m > 1").withColumn("_j", F.row_number().over(order)).withColumn("_take", (F.floor(F.col("_copies") / F.col("_m")) + F.when(F.col("_j") <= F.col("_copies") % F.col("_m"), 1).otherwise(0)).cast("bigint")).drop("_j")
-    both = once.unionByName(more).where("_take > 0")
-    return both.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("bigint"), "_take"))).select(*columns)
+    key = [F.col(f"k.{c}").eqNullSafe(F.col(f"d.{c}")) for c in ("source", "doc_id", "size")]
+    met = keyed.alias("k").join(done.alias("d"), key).select("k.*", "m", "copies")
+    once = met.where("m = 1").select("row", "copies")
+    again = done.where("m > 1")
+    if again.limit(1).count():
+        # Their number within a part, and the parts before it.
+        dealt = keyed.alias("k").join(again.alias("d"), key).select("k.*", "m", "copies").withColumn("part", F.pmod(F.xxhash64("place"), F.ceil(F.col("m") / TOGETHER)))
+        sizes = dealt.groupBy("source", "doc_id", "size", "part").agg(F.count("*").alias("n"))
+        before = Window.partitionBy("source", "doc_id", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        numbered = dealt.withColumn("j", F.row_number().over(Window.partitionBy("source", "doc_id", "size", "part").orderBy("place")))
+        placed = numbered.alias("k").join(offsets.alias("d"), [*key, F.col("k.part") == F.col("d.part")]).select("k.row", "k.copies", "k.m", (F.col("k.j") + F.col("d.before")).alias("j"))
+        once = once.unionByName(placed.select("row", each_row().alias("copies")))
+    return once.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).select("row.*")
