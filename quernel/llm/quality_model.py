@@ -14,8 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_rows
-from .toxicity import sample
+from .common import Scratch, held_out, labelled, map_rows
 
 #: Features of a text, in order; none of them looks at labels, language or source fields or ids.
 FEATURES = ["words", "word_length", "longest_word", "symbol_rate", "digit_rate", "upper_rate", "comma_rate", "stop_rate", "mark_rate", "bar_rate", "bang_rate", "repeated_lines", "line_words", "distinct_words", "non_ascii", "function_words"]
@@ -146,16 +145,18 @@ class Additive:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, text: str = "text") -> Additive:
-    chosen = sample(labels, "quality", 4, 2, most)
-    # At most `most` rows of two numbers: small enough to broadcast, and their features small enough for the driver.
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
-    found = map_rows(rows, lambda b: {"x": [features(t) for t in b.column(1).to_pylist()], "y": b.column(2)}, "x array<double>, y int").limit(2 * most).collect()
+    scratch = Scratch(docs.sparkSession)
+    rows = labelled(docs, labels, "quality", 4, 2, most, text, scratch)
+    found = map_rows(rows, lambda b: {"id": b.column(0), "x": [features(t) for t in b.column(1).to_pylist()], "y": b.column(2)}, "id bigint, x array<double>, y int").collect()  # `most` rows at most
+    scratch.free(rows)
+    found.sort(key=lambda r: r["id"])
     return Additive(np.array([r["x"] for r in found]).reshape(len(found), len(FEATURES)), np.array([r["y"] for r in found], float))
 
 
 def score(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, text: str = "text") -> DataFrame:
     """doc_id, held_out, score and predicted of every row. Null and empty texts have zeros as features and a score like any
-    other; repeated rows give repeated results; without labels of both kinds the score is one constant."""
+    other; whole texts, however long; repeated rows give repeated results; without labels of both kinds the score is one
+    constant; other columns are ignored; an empty table gives an empty result."""
     model = fit(docs, labels, most, text)
 
     def run(batch: pa.RecordBatch) -> dict:
