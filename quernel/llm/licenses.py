@@ -22,6 +22,12 @@ TEMPLATES: dict[str, list[str]] = {
     "GPL-3.0-only": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3"],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
+    "BSD-2-Clause": ["Released under the BSD 2-Clause License."],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0."],
+    "Zlib": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"],
+    "EUPL-1.2": ["Licensed under the EUPL, Version 1.2"],
+    "Artistic-2.0": ["Released under the Artistic License 2.0"],
     "BSD-3-Clause": ["Released under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "GPL-3.0-or-later": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
@@ -55,9 +61,23 @@ NAMES: dict[str, list[str]] = {
     "CC-BY-SA-4.0": ["Creative Commons Attribution-ShareAlike 4.0 International"],
     "CC-BY-NC-4.0": ["Creative Commons Attribution-NonCommercial 4.0 International"],
 }
+#: Names of licences as notices give them, made into "Licensed under the ..." with the version in both usual spellings.
+NOTICES: dict[str, tuple[str, str]] = {
+    "Apache-2.0": ("Apache License", "2.0"),
+    "GPL-2.0-only": ("GNU General Public License", "2"),
+    "GPL-3.0-only": ("GNU General Public License", "3"),
+    "LGPL-2.1-only": ("GNU Lesser General Public License", "2.1"),
+    "LGPL-3.0-only": ("GNU Lesser General Public License", "3"),
+    "AGPL-3.0-only": ("GNU Affero General Public License", "3"),
+    "MPL-2.0": ("Mozilla Public License", "2.0"),
+    "EPL-2.0": ("Eclipse Public License", "2.0"),
+    "BSL-1.0": ("Boost Software License", "1.0"),
+    "EUPL-1.2": ("European Union Public Licence", "1.2"),
+    "Artistic-2.0": ("Artistic License", "2.0"),
+}
 #: Identifiers whose SPDX tag is a template.
 TAGS = sorted({*TEMPLATES, *NAMES, "GPL-3.0-only", "GPL-2.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "AGPL-3.0-only"} - {"LicenseRef-proprietary"})
-ALL = [(s, t) for ts in (TEMPLATES, NAMES, {s: [f"SPDX-License-Identifier: {s}"] for s in TAGS}) for s, x in ts.items() for t in x]
+ALL = [(s, t) for ts in (TEMPLATES, NAMES, {s: [f"Licensed under the {n}, version {v}", f"Licensed under the {n} v{v}"] for s, (n, v) in NOTICES.items()}, {s: [f"SPDX-License-Identifier: {s}"] for s in TAGS}) for s, x in ts.items() for t in x]
 #: A line with one of these may belong to a licence.
 CUE = r"(?i)licen[sc]e|copyright|all rights reserved|redistribut|spdx|creative commons|permission is hereby granted|hereby granted|public domain|permission to use|free software"
 #: An SPDX tag up to its identifier; tags are passages of their own, as all tags have most words in common.
@@ -104,43 +124,48 @@ def passages_of(text: Column) -> Column:
     return F.when(text.rlike(CUE), F.array_distinct(F.concat(tags, close))).otherwise(F.array().cast("array<string>"))
 
 
-def scan(files: DataFrame, scratch: Scratch, threshold: float = 0.6, path: str = "path", text: str = "text") -> DataFrame:
-    """path, license, score, origin (header, file, inherited or none) and inherited_from of every row.
+def scan(files: DataFrame, scratch: Scratch, threshold: float = 0.6, path: str = "path", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """path, license, score, origin (header, file, inherited or none), inherited_from and the carried columns of every row.
 
     Passages are those of passages_of, whole licence files besides. Reserved rights count only where no licence is found,
     as most notices of a licence reserve them first. A term no template has counts for the passage's
     length with the weight of a term in no template. Null and empty texts have no licence of their own and may inherit; a
-    null path has no ancestors; repeated rows give repeated results. Ties go to the better score, then the smaller
-    identifier. An empty table gives an empty result.
+    null path has no ancestors; texts are whole, however long; repeated rows give repeated results. Ties go to the better score,
+    then the smaller identifier. Other columns are ignored, whatever their names. An empty table gives an empty result.
     """
     spark = files.sparkSession
-    rows = files.select(F.col(path).cast("string").alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     is_file = F.coalesce(F.col("path").rlike(LICENSE_FILE), F.lit(False))
+    carried = F.struct(F.lit(0).alias("none"), *(F.col(f"`{c}`") for c in carry))
+    rows = files.select(F.col(path).cast("string").alias("path"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), carried.alias("carried"), F.monotonically_increasing_id().alias("row"))
     passages = F.array_distinct(F.concat(passages_of(F.col("text")), F.when(is_file, F.array("text")).otherwise(F.array().cast("array<string>"))))
-    # Few lines hold a cue, and equal passages are looked at once.
-    found = rows.select(F.explode(passages).alias("passage")).distinct()
+    # Texts are read once: what is written has no text but the passages, and few rows have any.
+    seen = scratch.keep(rows.select("row", "path", is_file.alias("is_file"), "carried", passages.alias("passages")))
+    each = seen.where(F.size("passages") > 0).select("row", "path", "is_file", "carried", F.explode("passages").alias("passage"))
     known = templates(spark)
     vocabulary = known.select("term", "idf").distinct()
     unseen = 1.0 + math.log(1.0 + len(ALL))
-    tf = found.select("passage", F.explode(terms(F.col("passage"))).alias("term")).groupBy("passage", "term").agg(F.count("*").alias("tf"))
+    # Equal passages are looked at once.
+    tf = each.select("passage").distinct().select("passage", F.explode(terms(F.col("passage"))).alias("term")).groupBy("passage", "term").agg(F.count("*").alias("tf"))
     weighed = tf.join(F.broadcast(vocabulary), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unseen)))
     norms = weighed.groupBy("passage").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = weighed.where("idf is not null").join(F.broadcast(known.select("template", "license", "term", "weight")), "term").groupBy("passage", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     scored = dots.join(norms, "passage").withColumn("score", F.round(F.col("dot") / F.col("norm"), 9)).where(F.col("score") >= threshold)
-    best = scored.groupBy("passage").agg(F.max_by(F.struct("license", "score"), F.struct("score", -F.col("template"))).alias("m")).select("passage", "m.license", "m.score")
-    # Each row takes the best of its passages.
-    tagged = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "path", is_file.alias("is_file"), F.explode_outer(passages).alias("passage"))
-    own = scratch.keep(tagged.join(best, "passage", "left").groupBy("row", "path", "is_file").agg(F.max(F.when(F.col("license").isNotNull(), F.struct((F.col("license") != "LicenseRef-proprietary").alias("named"), "score", "license"))).alias("m")).select("path", "is_file", "m.license", "m.score"))
-    # Directories that a licence file speaks for, one row each, meet the prefixes of paths without a licence.
+    # Tables that are joined with one row for each key are written first: both sides of the join are plain exchanges then, and
+    # Spark can split the rows of a frequent passage or a large folder.
+    best = scratch.keep(scored.groupBy("passage").agg(F.max_by(F.struct("license", "score"), F.struct("score", -F.col("template"))).alias("m")).select("passage", "m.license", "m.score"))
+    # Each row takes the best of its passages; rows without one keep out of the join.
+    mine = each.join(best, "passage").groupBy("row").agg(F.max(F.struct((F.col("license") != "LicenseRef-proprietary").alias("named"), "score", "license")).alias("m"), F.first("path").alias("path"), F.first("is_file").alias("is_file"), F.first("carried").alias("carried"))
+    own = scratch.keep(mine.select("row", "path", "is_file", "carried", "m.license", "m.score"))
+    bare = scratch.keep(seen.join(own.select("row"), "row", "left_anti").select("path", "carried"))
+    # Directories that a licence file speaks for, one row each, meet the ancestors of directories with files without a licence.
     folder = F.regexp_replace("path", "/?[^/]*$", "")
-    speaks = own.where("is_file and license is not null").groupBy(folder.alias("dir")).agg(F.max(F.struct("score", "license", "path")).alias("f")).select("dir", "f.license", "f.score", F.col("f.path").alias("inherited_from"))
-    bare = own.where("license is null").select("path").distinct().where("path is not null")
-    parts = F.split(folder, "/")
-    above = bare.select("path", F.explode(F.transform(F.array(parts), lambda p: F.transform(F.sequence(F.lit(0), F.size(p)), lambda i: F.array_join(F.slice(p, F.lit(1), i), "/")))[0]).alias("dir"))
-    nearest = above.join(speaks, "dir").groupBy("path").agg(F.max_by(F.struct("license", "score", "inherited_from"), F.length("dir")).alias("n")).select(F.col("path").alias("p"), F.col("n.license").alias("up"), F.col("n.score").alias("up_score"), F.col("n.inherited_from").alias("inherited_from"))
-    done = own.join(nearest, F.col("license").isNull() & (F.col("path") == F.col("p")), "left")
-    origin = F.when(F.col("license").isNotNull(), F.when(F.col("is_file"), "file").otherwise("header")).when(F.col("up").isNotNull(), "inherited").otherwise("none")
-    return done.select("path", F.coalesce("license", "up").alias("license"), F.coalesce("score", "up_score").alias("score"), origin.alias("origin"), "inherited_from")
+    speaks = scratch.keep(own.where("is_file").groupBy(folder.alias("dir")).agg(F.max(F.struct("score", "license", "path")).alias("f")).select("dir", "f.license", "f.score", F.col("f.path").alias("inherited_from")))
+    homes = bare.where("path is not null").select(folder.alias("home")).distinct()
+    above = homes.select("home", F.explode(F.transform(F.array(F.split("home", "/")), lambda p: F.transform(F.sequence(F.lit(0), F.size(p)), lambda i: F.array_join(F.slice(p, F.lit(1), i), "/")))[0]).alias("dir"))
+    nearest = scratch.keep(above.join(speaks, "dir").groupBy("home").agg(F.max_by(F.struct("license", "score", "inherited_from"), F.length("dir")).alias("n")).select("home", "n.*"))
+    heirs = bare.withColumn("home", folder).join(nearest, "home", "left").select("path", "license", "score", F.when(F.col("license").isNotNull(), "inherited").otherwise("none").alias("origin"), "inherited_from", "carried")
+    direct = own.select("path", "license", "score", F.when(F.col("is_file"), "file").otherwise("header").alias("origin"), F.lit(None).cast("string").alias("inherited_from"), "carried")
+    return direct.unionByName(heirs).select(*COLUMNS, *(F.col("carried").getField(c).alias(c) for c in carry))
 
 
 def documents_as_files(docs: DataFrame) -> DataFrame:

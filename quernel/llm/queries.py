@@ -16,7 +16,7 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.link(table(spark, sf_dir, "documents"), Scratch(spark)).drop("class_id")
+    return jaccard.link(table(spark, sf_dir, "documents"), Scratch(spark)).drop("class_id", "component", "text_hash")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,8 +40,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = licenses.scan(licenses.documents_as_files(table(spark, sf_dir, "documents")), Scratch(spark))
-    return found.withColumn("doc_id", F.regexp_extract("path", r"([0-9-]+)(\.txt)?$", 1).cast("bigint"))
+    return licenses.scan(licenses.documents_as_files(table(spark, sf_dir, "documents")), Scratch(spark), carry=("doc_id",))
 
 
 def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
