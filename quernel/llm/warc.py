@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, tidy
 
 _SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:quernel:warc")
 _RECORDS = "record_id string, kind string, origin_id string, segment int, total_length bigint, page_key string, refers_to string, digest string, block binary"
@@ -90,7 +90,11 @@ def records_of(page_key: str, url: str, payload: bytes, refers: str | None, uniq
         yield _record(more + [("WARC-Segment-Total-Length", str(len(block)))] * (n == len(parts)), part)
 
 
-def write_archives(pages: DataFrame, segment_bytes: int = 65_536, archive_bytes: int = 4_000_000, least_payload: int = 0) -> DataFrame:
+#: Numbers of payload sums that are sent out before pages are joined with the sums of repeated payloads.
+BUCKETS = 1 << 20
+
+
+def write_archives(pages: DataFrame, scratch: Scratch, segment_bytes: int = 65_536, archive_bytes: int = 4_000_000, least_payload: int = 0) -> DataFrame:
     """Archives (archive string, content binary) of the rows (page_id, url, html).
 
     Null html is an empty payload, a null url an empty one. Of rows with equal payloads of at least least_payload bytes
@@ -99,9 +103,16 @@ def write_archives(pages: DataFrame, segment_bytes: int = 65_536, archive_bytes:
     """
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("html"))
     rows = rows.withColumn("sum", F.concat(F.sha1("html"), F.octet_length("html").cast("string")))
-    # Only sums travel for the choice of the response, partly aggregated; a hot payload is one row for each task.
-    last = rows.where(F.octet_length("html") >= least_payload).groupBy("sum").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = rows.join(last, "sum", "left").select("page_id", "url", "html", F.when(F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("refers"))
+    # Only sums travel for the choice of the response, partly aggregated; a hot payload is one row for each task. The choice is
+    # written, so that the join below reads both sides from plain exchanges and Spark can split a hot payload's pages.
+    last = scratch.keep(rows.where(F.octet_length("html") >= least_payload).groupBy("sum").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    # Buckets of those sums are BUCKETS rows at most, whatever the input, so they may be broadcast: pages whose payload can't be
+    # repeated are not moved.
+    bucket = F.pmod(F.xxhash64("sum"), F.lit(BUCKETS)).alias("bucket")
+    marks = F.broadcast(last.select(bucket).distinct())
+    keyed = rows.select("*", bucket)
+    met = keyed.join(marks, "bucket", "left_semi").join(last, "sum", "left").select("page_id", "url", "html", F.when(F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("refers"))
+    rows = met.unionByName(keyed.join(marks, "bucket", "left_anti").select("page_id", "url", "html", F.lit(None).cast("bigint").alias("refers")))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seed, count, held, size = uuid.uuid4().hex, 0, [], 0
@@ -123,19 +134,27 @@ def write_archives(pages: DataFrame, segment_bytes: int = 65_536, archive_bytes:
         if held:
             yield archive()
 
-    return rows.mapInArrow(write, "archive string, content binary")
+    return rows.mapInArrow(tidy(write), "archive string, content binary")
+
+
+def members_of(content: bytes, step: int = 65_536) -> Iterator[bytes]:
+    """The gzip members of an archive, or all of it where it is plain; each byte is read once."""
+    view, at = memoryview(content), 0
+    while at < len(view):
+        if view[at : at + 2] != b"\x1f\x8b":
+            yield bytes(view[at:])
+            return
+        member, out = zlib.decompressobj(31), []
+        while not member.eof and at < len(view):
+            part = view[at : at + step]
+            out.append(member.decompress(part))
+            at += len(part) - len(member.unused_data)
+        yield b"".join(out)
 
 
 def parse_archive(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (names in lower case) and block of each record of an archive, gzip members or plain."""
-    view = memoryview(content)
-    while len(view):
-        if view[:2] == b"\x1f\x8b":
-            member = zlib.decompressobj(31)
-            record = member.decompress(view)
-            view = view[len(view) - len(member.unused_data) :]
-        else:
-            record, view = bytes(view), view[:0]
+    for record in members_of(content):
         at = 0
         while at < len(record):
             end = record.index(b"\r\n\r\n", at)
@@ -160,7 +179,7 @@ def read_records(archives: DataFrame) -> DataFrame:
                     rows.append((h.get("warc-record-id"), h.get("warc-type"), h.get("warc-segment-origin-id") or (h.get("warc-record-id") if number else None), int(number) if number else None, int(total) if total else None, h.get("x-page-key"), h.get("x-refers-to-page"), (h.get("warc-payload-digest") or "").removeprefix("sha1:") or None, block))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 9, types, strict=True)], names=names)
 
-    return archives.select("content").mapInArrow(read, _RECORDS)
+    return archives.select("content").mapInArrow(tidy(read), _RECORDS)
 
 
 def reassemble(records: DataFrame) -> DataFrame:
@@ -192,21 +211,25 @@ def reassemble(records: DataFrame) -> DataFrame:
                 out.append((key, kind, refers, "whole" if whole else "incomplete", size, digest))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, [pa.string()] * 4 + [pa.int64(), pa.string()], strict=True)], names=["page_key", "record_type", "refers_to", "status", "payload_bytes", "payload_digest"])
 
-    return single.unionByName(split).mapInArrow(join, "page_key string, record_type string, refers_to string, status string, payload_bytes bigint, payload_digest string")
+    return single.unionByName(split).mapInArrow(tidy(join), "page_key string, record_type string, refers_to string, status string, payload_bytes bigint, payload_digest string")
 
 
 def round_trip(pages: DataFrame, scratch: Scratch, **options: int) -> DataFrame:
-    """Write the pages as archives, read them back, and give a revisit its payload's figures from its response.
+    """page_id, payload_bytes, payload_digest, record_type, refers_to and status of every row: the pages written as archives and
+    read back, where a revisit has its payload's figures from its response.
 
-    An empty table gives an empty result.
+    Null html is an empty payload, however long payloads are; nulls, repeated rows and ties are as in write_archives; other
+    columns are ignored, whatever their names; an empty table gives an empty result.
     """
-    archives = scratch.keep(write_archives(pages, **options))
+    archives = scratch.keep(write_archives(pages, scratch, **options))
     found = scratch.keep(reassemble(read_records(archives)))
     scratch.free(archives)
     key = F.when(F.col("page_key") != "", F.col("page_key").cast("bigint"))
     whole = found.where("record_type = 'response'").select(key.alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("bigint").alias("refers_to"), "status")
     # A response is named by its page and digest; rows that repeat it are one target.
     target = found.where("record_type = 'response' and status = 'whole'").select(F.col("page_key").alias("refers_to"), "payload_bytes", "payload_digest").distinct()
+    # Written, so that Spark can split the revisits of a hot payload in the join.
+    target = scratch.keep(target)
     again = found.where("record_type = 'revisit'").select("page_key", "refers_to", "record_type", "status", "payload_digest").join(target, ["refers_to", "payload_digest"], "left")
     again = again.select(key.alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("bigint"), F.when(F.col("payload_bytes").isNull(), "incomplete").otherwise(F.col("status")).alias("status"))
     return whole.unionByName(again)
