@@ -200,6 +200,70 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0), Scratch(spark)).count() == 0
 
 
+def test_mixing_against_a_fold(spark):
+    """The trades one after the other in plain Python, from the same hashes."""
+    import math
+    import struct
+
+    import xxhash
+
+    def hashed(*values):
+        h = 42
+        for kind, v in values:
+            h = xxhash.xxh64_intdigest(struct.pack(f"<{kind}", v), seed=h)
+        return h - (1 << 64) if h >> 63 else h
+
+    longs = lambda *v: [("q", x) for x in v]
+    unit = lambda *v: hashed(*v) % 2**31 / 2**31
+    rng = random.Random(3)
+    rows = [(i, " ".join(["w"] * rng.randrange(1, 60))) for i in range(400)]
+    sources = [rng.choice(["a", "a", "a", "b", None]) for _ in rows]
+    docs = docs_of(spark, rows, sources)
+    sizes = collections.Counter()
+    for (_, t), s in zip(rows, sources, strict=True):
+        sizes[s] += len(t.split())
+    goal = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, source_size bigint")).collect()}
+    copies = {}
+    open_ = collections.defaultdict(list)
+    for (i, t), s in zip(rows, sources, strict=True):
+        ideal = goal[s] / sizes[s]
+        base = round(ideal) if abs(ideal - round(ideal)) < 1e-9 else math.floor(ideal)
+        copies[i] = base
+        if abs(ideal - round(ideal)) >= 1e-9:
+            open_[s].append((i, len(t.split()), ideal - base))
+    for level in range(64):
+        if max(map(len, open_.values()), default=0) <= 1:
+            break
+        for s, items in open_.items():
+            chunks = collections.defaultdict(list)
+            for i, n, p in items:
+                chunks[hashed(*longs(i, n), ("i", 17), ("i", level)) % math.ceil(len(items) / 32)].append((hashed(*longs(i, n), ("i", 17 + level)), i, n, p))
+            left = []
+            for chunk in chunks.values():
+                cur = None
+                for _, i, n, p in sorted(chunk):
+                    if cur is None:
+                        cur = (i, n, p)
+                        continue
+                    ci, cn, cp = cur
+                    up, down = min(1 - cp, p * n / cn), min(cp, (1 - p) * n / cn)
+                    rises = unit(*longs(ci, cn, i, n), ("i", 17), ("i", level)) * (up + down) < down
+                    first_done = up >= 1 - cp if rises else down >= cp
+                    if first_done:  # the one at hand is 0 or 1 now, the other goes on
+                        copies[ci] += rises
+                        cur = (i, n, min(1.0, max(0.0, p + (-up if rises else down) * cn / n)))
+                    else:
+                        copies[i] += not rises
+                        cur = (ci, cn, min(1.0, max(0.0, cp + (up if rises else -down))))
+                left.append(cur)
+            open_[s] = [x for x in left if x[2] > 0]
+    for items in open_.values():
+        for i, n, p in items:
+            copies[i] += unit(*longs(i, n), ("i", 17)) < p
+    got = {r["doc_id"]: r["taken"] // r["size"] for r in mixing.mix(docs, Scratch(spark)).collect()}
+    assert got == copies
+
+
 def test_targets(spark):
     sizes = spark.createDataFrame([("a", 100), ("b", 10), ("c", 900), (None, 50)], "source string, source_size bigint")
     got = {r["source"]: r["target"] for r in mixing.targets(sizes).collect()}
@@ -209,7 +273,7 @@ def test_targets(spark):
 
 
 def test_toxicity(spark):
-    clean = [(i, f"the weather number {i} is fine today and we walk") for i in range(300)]
+    clean = [(i, f"the weather number {i} is fine today and we walk. You are an early and such a kind guest") for i in range(300)]
     toxic = [(1000 + i, f"you are an idiot and a stupid clown {i}. Such trash.") for i in range(80)]
     labels = spark.createDataFrame([(i, 1, 0) for i, _ in clean] + [(i, 1, 1) for i, _ in toxic] + [(None, 1, 1), (5, 1, None)], LABELS)
     docs = docs_of(spark, [*clean, *toxic, (5000, None), (5001, ""), (None, "x"), (5002, "fine " * 20 + "you idiot, you moron, worthless scum"), (5003, "fine " * 90_000)])
@@ -219,8 +283,12 @@ def test_toxicity(spark):
     import zlib
 
     assert all(r["held_out"] == (i is not None and zlib.crc32(str(i).encode()) % 5 == 0) for i, r in got.items())
-    flagged = toxicity.flagged(docs, labels)
-    assert flagged.columns == [*docs.columns, "_toxic"] and flagged.where("_toxic = 1").count() == 81
+    flagged = toxicity.flagged(docs, labels, "bad")
+    assert flagged.columns == [*docs.columns, "bad"] and flagged.where("bad = 1").count() == 81
+    with pytest.raises(ValueError):
+        toxicity.flagged(docs, labels, "words")
+    again = toxicity.score(docs.repartition(5), labels.repartition(3))
+    assert {r["doc_id"]: r["score"] for r in again.collect()} == {i: r["score"] for i, r in got.items()}
     assert toxicity.score(docs.limit(0), labels).count() == 0
     assert {r["score"] for r in toxicity.score(docs, labels.limit(0)).collect()} == {0.5}
 
@@ -228,16 +296,41 @@ def test_toxicity(spark):
 def test_toxicity_without_labels(spark):
     docs = docs_of(spark, [(1, "fine weather"), (2, "you idiot"), (3, None)])
     labels = spark.createDataFrame([], LABELS)
-    assert toxicity.flagged(docs, labels).where("_toxic = 0").count() == 3
+    assert toxicity.flagged(docs, labels).where("toxic = 0").count() == 3
     assert {r["predicted"] for r in toxicity.score(docs, labels).collect()} == {0}
 
 
-def test_grammar_events():
+def test_grammar_clauses():
     g = toxicity.Grammar({"grobnik": 2.0})
-    events = lambda t: dict(zip(toxicity.EVENTS, g.features(t), strict=False))
-    assert events("you idiot")["insult_aimed"] == 1 and events("an idiot")["insult"] == 1
-    assert events("not an idiot")["insult_covered"] == 1 and events("she said idiot")["insult_covered"] == 1
-    assert events("she said so. idiot")["insult"] == 1 and events("I will kill you")["threat"] == 1 and events("such a grobnik")["learned"] == 1
+    put = lambda t: g.clause(t.lower().split())
+    assert put("an idiot") == {"insult": 1.0} and put("you idiot") == {"insult": toxicity.AIMED} and put("I will kill you") == {"threat": 1.0}
+    assert put("such a grobnik") == {"learned": 2.0} and put("you grobnik") == {"learned": 2 * toxicity.AIMED} and put("fine weather") == {}
+    assert put("not an idiot") == {"insult": toxicity.NEGATED} and put("maria said idiot") == {"insult": toxicity.REPORTED}
+    assert put("you are not an idiot") == {"insult": pytest.approx(toxicity.AIMED * toxicity.NEGATED)}
+    assert g.features("She said so. idiot")[0] == 1.0 and g.features("one. two. three") == [0.0] * toxicity.WIDTH
+    # A word counts by the clause around it only, never by itself: the same words score by what surrounds them.
+    w = toxicity.learn(np.array([g.features(t) for t in ["you idiot", "you moron, you scum"] * 30 + ["fine weather", "we walk home"] * 90]), np.array([1.0] * 60 + [0.0] * 180))
+    z = lambda t: float((toxicity.scaled(np.array([g.features(t)])) @ w)[0])
+    assert z("not an idiot") < z("an idiot") < z("you idiot") and z("she said idiot") < z("you idiot") and z("maria said idiot") < z("an idiot")
+    assert z("you are not an idiot") < z("you are an idiot") and (w[1:] >= 0).all()
+
+
+def test_grammar_against_brute_force():
+    """The composed transducer against the definition: the words before decide each word's factor."""
+    rng = random.Random(6)
+    symbols = toxicity.classes()
+    vocabulary = ["idiot", "kill", "you", "not", "said", "grobnik", "walk", "home"]
+    g = toxicity.Grammar({"grobnik": 2.0})
+    for _ in range(500):
+        words = [rng.choice(vocabulary) for _ in range(rng.randrange(12))]
+        want = collections.defaultdict(float)
+        for i, w in enumerate(words):
+            kind = {"I": "insult", "H": "threat"}.get(symbols.get(w), "learned" if w == "grobnik" else "")
+            if kind:
+                factor = toxicity.AIMED if "you" in words[max(0, i - toxicity.NEAR) : i] else 1.0
+                factor *= toxicity.NEGATED if "not" in words[max(0, i - toxicity.SCOPE) : i] else 1.0
+                want[kind] += (2.0 if kind == "learned" else 1.0) * factor * (toxicity.REPORTED if "said" in words[:i] else 1.0)
+        assert g.clause(words) == pytest.approx(dict(want))
 
 
 def test_quality_model(spark):
@@ -254,6 +347,26 @@ def test_quality_model(spark):
     assert len({r["score"] for r in quality_model.score(docs, labels.limit(0)).collect()}) == 1
 
 
+def test_trees_against_all_splits():
+    rng = np.random.default_rng(7)
+    value = lambda g, h: (g * g / (h + 5.0)) if h or g else 0.0
+    for n in (1, 2, 5, 9):
+        g, h = rng.normal(size=n), rng.random(n)
+        best = max(sum(value(g[a:b].sum(), h[a:b].sum()) for a, b in ((0, i), (i, j), (j, n))) for i in range(n + 1) for j in range(i, n + 1))
+        out = quality_model.tree(g, h)
+        cuts = [0, *(k + 1 for k in range(n - 1) if out[k] != out[k + 1]), n]
+        assert len(cuts) <= 4
+        assert sum(value(g[a:b].sum(), h[a:b].sum()) for a, b in itertools.pairwise(cuts)) == pytest.approx(best)
+        assert all(out[a] == pytest.approx(g[a:b].sum() / (h[a:b].sum() + 5.0)) for a, b in itertools.pairwise(cuts))
+    for shape in ((1, 1), (3, 4), (5, 2)):
+        g, h = rng.normal(size=shape), rng.random(shape)
+        parts = lambda x, i, j: (x[:i, :j].sum(), x[:i, j:].sum(), x[i:, :j].sum(), x[i:, j:].sum())
+        best = max(sum(map(value, parts(g, i, j), parts(h, i, j))) for i in range(shape[0] + 1) for j in range(shape[1] + 1))
+        gain, out = quality_model.quadrants(g, h)
+        assert gain == pytest.approx(best) and (out * (g - out * 0)).shape == shape
+        assert any(np.allclose(out, np.block([[np.full((i, j), a), np.full((i, shape[1] - j), b)], [np.full((shape[0] - i, j), c), np.full((shape[0] - i, shape[1] - j), d)]])) for i in range(shape[0] + 1) for j in range(shape[1] + 1) for a, b, c, d in [tuple(x / (y + 5.0) for x, y in zip(parts(g, i, j), parts(h, i, j), strict=True))])
+
+
 def test_warc_round_trip(spark):
     pages = [(1, "http://a/1", "<p>x</p>" * 20_000), (2, "http://a/2", "same"), (3, "http://a/3", "same"), (4, None, None), (5, "u", ""), (None, "v", "same"), (6, "w", "é日本" * 9_000), (6, "w", "é日本" * 9_000), (7, "bad\r\nX-Page-Key: 9", "z")]
     df = spark.createDataFrame([(*p, "q") for p in pages], "page_id bigint, url string, html string, kind string")
@@ -267,9 +380,24 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(df.limit(0), Scratch(spark)).count() == 0
 
 
+def test_warc_reads_each_byte_once():
+    import time
+
+    members = [warc._record([("WARC-Type", "resource")], bytes([i % 251]) * 3_000) for i in range(20_000)]
+    for content in (b"".join(members), members[0], b""):
+        assert [len(b) for _, b in warc.parse_archive(content)] == [3_000] * (len(content) and content.count(b"\x1f\x8b\x08") if len(content) < 10_000 else 20_000)
+    began = time.process_time()
+    assert sum(1 for _ in warc.parse_archive(b"".join(members))) == 20_000
+    assert time.process_time() - began < 10
+    plain = b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    assert [b for _, b in warc.parse_archive(plain * 3)] == [b"abc"] * 3
+    big = warc._record([("WARC-Type", "resource")], random.Random(1).randbytes(500_000))
+    assert [len(b) for _, b in warc.parse_archive(big * 2)] == [500_000] * 2
+
+
 def test_warc_missing_segment_and_framing(spark):
     df = spark.createDataFrame([(1, "u", "y" * 50_000)], "page_id bigint, url string, html string")
-    records = warc.read_records(warc.write_archives(df, segment_bytes=10_000)).where("segment is null or segment <> 3")
+    records = warc.read_records(warc.write_archives(df, Scratch(spark), segment_bytes=10_000)).where("segment is null or segment <> 3")
     r = warc.reassemble(records).first()
     assert r["status"] == "incomplete" and r["payload_bytes"] is None
     body = bytes(range(256)) * 300
@@ -359,6 +487,59 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0), Scratch(spark)).count() == 0
 
 
+def test_licenses_against_brute_force(spark):
+    """Cosines over the passages, the best licence of each file, and the nearest ancestor by walking up."""
+    import math
+
+    rng = random.Random(9)
+    notices = [t for _, t in licenses.ALL] + ["Our licence is a secret and no one may know it", "copyright is a word in this line", "", "plain text"]
+    folders = ["", "a", "a/b", "a/b/c", "a/d", "e", "e/f/g"]
+    files = []
+    for n in range(120):
+        folder, name = rng.choice(folders), rng.choice(["LICENSE", "COPYING.txt", "LICENSE-2", "x.c", "y.py", "z.txt"]) if rng.random() < 0.5 else f"f{n}.c"
+        files.append((f"{folder}/{name}".lstrip("/"), "\n".join(rng.choice(notices) if rng.random() < 0.4 else "just code" for _ in range(rng.randrange(1, 4))), n))
+    df = spark.createDataFrame(files, "path string, text string, doc_id bigint")
+    cut = {r["doc_id"]: list(dict.fromkeys([*r["p"], *([r["text"]] if re.search(licenses.LICENSE_FILE, r["path"]) else [])])) for r in df.select("*", licenses.passages_of(F.col("text")).alias("p")).collect()}
+
+    def grams(t):
+        w = re.findall(r"[a-z]+|[0-9]+(?:\.[0-9]+)*", t.lower())
+        return collections.Counter([*w, *(f"{a} {b}" for a, b in zip(w, w[1:], strict=False))])
+
+    known = [grams(t) for _, t in licenses.ALL]
+    n = len(known)
+    df_of = collections.Counter(g for k in known for g in k)
+    idf = lambda g: math.log((1 + n) / (1 + df_of[g])) + 1
+    vector = lambda c: {g: f * idf(g) for g, f in c.items()}
+    size = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    templates = [(s, vector(k), size(vector(k))) for (s, _), k in zip(licenses.ALL, known, strict=True)]
+    own = {}
+    for i, parts in cut.items():
+        best = None
+        for v in map(vector, map(grams, parts)):
+            if not v:
+                continue
+            of_passage = max((round(sum(x * v.get(g, 0) for g, x in t.items()) / (size(v) * tn), 9), -k, s) for k, (s, t, tn) in enumerate(templates))
+            if of_passage[0] >= 0.6:
+                best = max(best or (), (of_passage[2] != "LicenseRef-proprietary", of_passage[0], of_passage[2]))
+        own[i] = best
+    up = lambda p: p.rsplit("/", 1)[0] if "/" in p else ""
+    speaks = collections.defaultdict(list)
+    for p, _, i in files:
+        if own[i] and re.search(licenses.LICENSE_FILE, p):
+            speaks[up(p)].append((own[i][1], own[i][2], p))
+    got = {r["doc_id"]: r for r in licenses.scan(df, Scratch(spark), carry=("doc_id",)).collect()}
+    assert len(got) == len(files) and {r["origin"] for r in got.values()} == {"file", "header", "inherited", "none"}
+    for p, _, i in files:
+        if own[i]:
+            assert (got[i]["license"], got[i]["score"]) == (own[i][2], pytest.approx(own[i][1], abs=2e-9)) and got[i]["origin"] in ("file", "header")
+            continue
+        folder = up(p)
+        while folder and folder not in speaks:
+            folder = up(folder)
+        best = max(speaks[folder]) if folder in speaks else None
+        assert (got[i]["license"], got[i]["inherited_from"]) == ((best[1], best[2]) if best else (None, None)), (p, i)
+
+
 def test_license_passages(spark):
     gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\nimport os\n"
     mit = "MIT License\n\nCopyright (c) 2020 A. Author. All rights reserved.\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice ..."
@@ -373,6 +554,8 @@ def test_license_passages(spark):
         "apache.c": (" * Licensed under the Apache License,\n * Version 2.0 (the \"License\"); you may not use this file\n * except in compliance with the License.\n", "Apache-2.0"),
         "inline.md": ("Our tool, which many people like to use and extend, is free and released under the MIT License so that all may share what they make of it", "MIT"),
         "q/LICENSE": (mit, "MIT"),
+        "lesser.c": ("// Licensed under the GNU Lesser General Public License v2.1", "LGPL-2.1-only"),
+        "eclipse.java": ("This program and the accompanying materials\nare made available under the terms of the Eclipse Public License 2.0", "EPL-2.0"),
         "own.c": ("Copyright 2020 X. All rights reserved.", "LicenseRef-proprietary"),
         "prose.txt": ("She had a licence to sell fish. The copyright office was closed and nobody came.", None),
     }
@@ -391,3 +574,76 @@ def test_pipeline_runs(spark):
         docs = scratch.keep(stage(spark, docs, sf))
         assert name == "bpe" or docs.columns == columns, name
     assert docs.count() > 20
+
+
+ODD = "doc_id bigint, text string, lang string, source string, n_chars bigint, row int, kept int, toxic int, copies int, m int, words string, _id int, _take int, size int, text_hash bigint, component int"
+
+
+@pytest.fixture(scope="module")
+def odd_corpus(spark, tmp_path_factory):
+    """A folder with labels, and documents with nulls, empty and long texts, repeated rows, shared ids and clashing columns."""
+    rng = random.Random(12)
+    prose = lambda n: " ".join(f"word{rng.randrange(4000)}" for _ in range(n))
+    base, long = prose(80), prose(60_000)
+    near = base.split()
+    near[40] = "changed"
+    texts = [(1, base), (2, base), (3, " ".join(near)), (4, None), (5, ""), (6, "too short"), (7, long), (8, prose(50)), (8, prose(50)), (9, base), (9, base), (None, prose(40)), (None, prose(40)), (10, prose(40) + ". You idiot, you moron, you worthless scum. You are trash, you clown")]
+    texts += [(100 + i, prose(40)) for i in range(200)] + [(500 + i, prose(30) + ". You idiot. You moron, you stupid clown. Such worthless trash") for i in range(60)]
+    rows = [(i, t, None if i == 8 else "en", None if i in (2, 8) else "s", None, *range(5), "w", *range(5)) for i, t in texts]
+    folder = str(tmp_path_factory.mktemp("odd"))
+    docs = spark.createDataFrame(rows, ODD)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    labels = [(100 + i, 1, 0) for i in range(200)] + [(500 + i, 1, 1) for i in range(60)] + [(None, 1, 1), (3, None, None)]
+    spark.createDataFrame(labels, LABELS).write.parquet(f"{folder}/labels.parquet")
+    return folder, rows
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd_corpus):
+    import corpus_pipeline
+
+    folder, rows = odd_corpus
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    stages, scratch = dict(corpus_pipeline.STAGES), Scratch(spark)
+    of = lambda df: collections.Counter((r["doc_id"], r["text"]) for r in df.collect())
+    everything = collections.Counter((r[0], r[1]) for r in rows)
+    for name in list(stages)[:4]:  # every stage on the odd rows themselves, and on none
+        assert stages[name](spark, docs, folder).columns == docs.columns, name
+        assert stages[name](spark, docs.limit(0), folder).count() == 0, name
+    assert of(stages["quality_rules"](spark, docs, folder)) == collections.Counter({k: n for k, n in everything.items() if len((k[1] or "").split()) >= 20})
+    toxic = of(stages["toxicity"](spark, docs, folder))
+    assert toxic == collections.Counter({k: n for k, n in everything.items() if not (k[0] == 10 or (k[0] or 0) >= 500)})
+    # Copies of one text under ids 1, 2, 3 and 9 leave id 1; both texts of id 8 stay, and all rows without an id or words.
+    one = of(stages["near_duplicates"](spark, docs, folder))
+    assert one == collections.Counter({k: 1 for k in everything if k[0] not in (2, 3, 9)})
+    mixed = stages["mixing"](spark, docs, folder)
+    taken = {(r["doc_id"], r["size"]): r["taken"] for r in mixing.mix(docs, Scratch(spark)).groupBy("doc_id", "size").agg(F.sum("taken").alias("taken")).collect()}
+    words = collections.Counter()
+    for (i, t), n in of(mixed).items():
+        words[i, len(WORD.findall(t))] += n * len(WORD.findall(t))
+    assert {k: n for k, n in taken.items() if n} == dict(words)
+    kept = scratch.keep(mixed)
+    assert collections.Counter(r["n_tokens"] for r in stages["bpe"](spark, kept, folder).collect()) == collections.Counter(r["n_tokens"] for r in bpe.encode(mixed).collect())
+
+
+def test_pipeline_without_labels(spark, odd_corpus, tmp_path):
+    import corpus_pipeline
+
+    folder, rows = odd_corpus
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.clean(spark, docs, str(tmp_path)).count() == len(rows)
+    assert corpus_pipeline.quality(spark, docs, str(tmp_path)).count() == sum(len((r[1] or "").split()) >= 20 for r in rows)
+
+
+def test_mixed_deals_repeated_rows(spark, monkeypatch):
+    """Rows of one id, source and size are numbered in parts; together they get all copies."""
+    monkeypatch.setattr(mixing, "TOGETHER", 7)
+    rows = [(1, "a b c d", "en", "hot", None, 1, "x", "y", "z")] * 50 + [(i, "w " * (i % 40 + 1), "en", f"s{i % 3}", None, 1, "x", "y", "z") for i in range(2, 200)]
+    docs = spark.createDataFrame(rows, DOCS)
+    want = collections.Counter()
+    for r in mixing.mix(docs, Scratch(spark)).collect():
+        want[r["doc_id"]] += r["taken"]
+    got = collections.Counter()
+    for r in mixing.mixed(docs, Scratch(spark)).collect():
+        got[r["doc_id"]] += len(r["text"].split())
+    assert got == +want and want[1] > 0
