@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset, the context's own checkpoint
-    folder, or the warehouse."""
+    folder, or the warehouse. Only where all of Spark is one process (a local master) may it be a new temporary folder."""
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named and sc.master.partition("[")[0] == "local":
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quernel-"))
+        named = sc.getCheckpointDir()
+    named = named or spark.conf.get("spark.sql.warehouse.dir", None)
     if not named:
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return str(named).rstrip("/")

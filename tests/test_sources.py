@@ -221,3 +221,22 @@ def test_fixtures_and_checks(spark):
     assert checked_name("place_embeddings") == "place_embeddings"
     with pytest.raises(ValueError):
         checked_name("x; drop table y")
+
+
+def test_shared_folder():
+    """The named folder; without one a temporary folder on a local master only, the warehouse on a cluster, or an error."""
+    from types import SimpleNamespace
+
+    from quernel.sources.written import shared_dir
+
+    def session(master, context=None, **conf):
+        sc = SimpleNamespace(master=master, getConf=lambda: {}, getCheckpointDir=lambda: held.get("dir", context), setCheckpointDir=lambda x: held.update(dir=x))
+        held = {}
+        return SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda name, default=None: conf.get(name.replace(".", "_"), default)))
+
+    assert shared_dir(session("spark://x", spark_checkpoint_dir="hdfs://a/b/")) == "hdfs://a/b"
+    assert shared_dir(session("yarn", spark_sql_warehouse_dir="hdfs://w")) == "hdfs://w"
+    assert shared_dir(session("yarn", "hdfs://c", spark_sql_warehouse_dir="hdfs://w")) == "hdfs://c"
+    assert "quernel-" in shared_dir(session("local[2]", spark_sql_warehouse_dir="hdfs://w"))
+    with pytest.raises(ValueError):
+        shared_dir(session("local-cluster[2,1,512]"))
