@@ -68,9 +68,12 @@ def batch_top_k(items: DataFrame, queries: DataFrame, k: int, key: str = "vec_id
     if n <= BROADCAST_QUERIES:
         met = a.crossJoin(F.broadcast(b))
     else:
-        # Each row meets each block of queries once; blocks are no larger than a broadcast table may be.
-        width = -(-n // max(1, BROADCAST_QUERIES))
-        met = a.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(width - 1)))).join(b.withColumn("_b", F.pmod(F.xxhash64(query_key), F.lit(width)).cast("int")), "_b")
+        # Each row meets each block of queries once; a block is no larger than a broadcast table may be, and goes to each part
+        # of the rows, so that a pair of a block and a part is one task's work.
+        width, parts = -(-n // max(1, BROADCAST_QUERIES)), a.sparkSession.sparkContext.defaultParallelism
+        upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        rows = a.withColumn("_s", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")).withColumn("_b", upto(width))
+        met = rows.join(b.withColumn("_b", F.pmod(F.xxhash64(query_key), F.lit(width)).cast("int")).withColumn("_s", upto(parts)), ["_b", "_s"])
     scored = met.select(query_key, key, *(["_tie"] if tie else []), cosine(F.col(vector), F.col(query_vector), F.col("_n"), F.col("_m")).alias("score")).where("score is not null")
     order = Window.partitionBy(query_key).orderBy(F.desc("score"), *(["_tie"] if tie else []), key)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("_tie")

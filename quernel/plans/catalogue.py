@@ -353,9 +353,10 @@ def contained(docs: DataFrame, passages: DataFrame) -> DataFrame:
         if n <= retrieve.BROADCAST_QUERIES:
             pairs = docs.crossJoin(F.broadcast(short))
         else:
-            blocks = max(1, n // retrieve.BROADCAST_QUERIES)
-            each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-            pairs = docs.withColumn("_b", each).join(short.withColumn("_b", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")), "_b")
+            blocks, parts = -(-n // max(1, retrieve.BROADCAST_QUERIES)), docs.sparkSession.sparkContext.defaultParallelism
+            upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+            dealt = docs.withColumn("_s", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")).withColumn("_b", upto(blocks))
+            pairs = dealt.join(short.withColumn("_b", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")).withColumn("_s", upto(parts)), ["_b", "_s"])
         found = found.unionByName(pairs.where(F.contains("text", "p")).select("qid", "doc_id"))
     return found
 
