@@ -178,7 +178,7 @@ _TOKENS = f"CASE WHEN len({s_filtered('text')}) > 0 THEN {s_filtered('text')} EL
 @query(f"""WITH t AS (SELECT item_id, unnest({_TOKENS}) AS token FROM benchmark),
     v AS (SELECT item_id, pos, sum(CAST('0x' || substr(sha256(token), CAST((pos % 32) * 2 + 1 AS INT), 2) AS INT) / 255.0 * 2 - 1) AS v FROM t, range(300) r(pos) GROUP BY ALL),
     n AS (SELECT item_id, sqrt(sum(v * v)) AS n FROM v GROUP BY item_id)
-    SELECT b.item_id, r.pos, round(coalesce(v / n, 0), 6) AS value FROM benchmark b CROSS JOIN range(300) r(pos) LEFT JOIN v ON v.item_id = b.item_id AND v.pos = r.pos LEFT JOIN n ON n.item_id = b.item_id""")
+    SELECT b.item_id, r.pos, round(coalesce(v / n, 0), 6) + 0.0 AS value FROM benchmark b CROSS JOIN range(300) r(pos) LEFT JOIN v ON v.item_id = b.item_id AND v.pos = r.pos LEFT JOIN n ON n.item_id = b.item_id""")
 def hash_embed(spark: SparkSession, d: str) -> DataFrame:
     vectors = embed.HashEmbedder(300).embed(read(spark, d, "benchmark"), "text").select("item_id", F.posexplode("embedding").alias("pos", "v"))
     return vectors.select("item_id", F.col("pos").cast("bigint").alias("pos"), F.round("v", 6).alias("value"))
@@ -646,7 +646,7 @@ def table_counts(spark: SparkSession, d: str) -> DataFrame:
     return one("documents").unionByName(one("embeddings"))
 
 
-_CHECKED = "SELECT '{0}' AS \"table\", count(*) AS total, min(len(embedding)) AS min_dims, max(len(embedding)) AS max_dims, '{0}' AS model, min('v' || label) AS version, round(min(n), 6) AS min_norm, round(max(n), 6) AS max_norm FROM (SELECT *, " + _NORM + " AS n FROM embeddings) WHERE label % 2 = {1}"
+_CHECKED = "SELECT '{0}' AS table_name, count(*) AS total, min(len(embedding)) AS min_dims, max(len(embedding)) AS max_dims, '{0}' AS model, min('v' || label) AS version, round(min(n), 6) AS min_norm, round(max(n), 6) AS max_norm FROM (SELECT *, " + _NORM + " AS n FROM embeddings) WHERE label % 2 = {1}"
 
 
 @query(_CHECKED.format("even", 0) + " UNION ALL " + _CHECKED.format("odd", 1))

@@ -61,7 +61,7 @@ def checked_name(name: str) -> str:
 
 
 def verification(tables: dict[str, DataFrame], vector: str = "embedding") -> DataFrame:
-    """table, total, dimensions, models, versions and norms of each table with embedding_model and embedding_version."""
+    """table_name, total, dimensions, models, versions and norms of each table with embedding_model and embedding_version."""
     n = norm(F.col(vector))
     figures = [F.count("*").alias("total"), F.min(F.size(vector)).alias("min_dims"), F.max(F.size(vector)).alias("max_dims"), F.min("embedding_model").alias("model"), F.min("embedding_version").alias("version"), F.min(n).alias("min_norm"), F.max(n).alias("max_norm")]
-    return reduce(DataFrame.unionByName, (df.agg(*figures).select(F.lit(name).alias("table"), "*") for name, df in tables.items()))
+    return reduce(DataFrame.unionByName, (df.agg(*figures).select(F.lit(name).alias("table_name"), "*") for name, df in tables.items()))
