@@ -73,7 +73,7 @@ def mean_of_words(rows: DataFrame, words: DataFrame, dimension: int, key: str =
     """
     if dimension < 1 or (unknown is not None and len(unknown) != dimension):
         raise ValueError("the unknown vector must have the dimension, which is positive")
-    counts = rows.select(key, F.explode(embedding_tokens(F.col(text))).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
+    counts = rows.select(key, F.explode_outer(embedding_tokens(F.col(text))).alias("word")).where("word is not null").groupBy(key, "word").agg(F.count("*").alias("n"))
     met = counts.join(words.select("word", "vector"), "word", "left")
     if unknown is not None:
         met = met.withColumn("vector", F.coalesce(F.col("vector").cast("array<double>"), F.array(*map(F.lit, map(float, unknown)))))

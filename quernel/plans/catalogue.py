@@ -231,7 +231,8 @@ def tf(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_D_TERMS} SELECT term, df FROM df")
 def df(spark: SparkSession, d: str) -> DataFrame:
     tokens = read(spark, d, "documents").select(F.array_distinct(ft.ranking_tokens(F.col("text"))).alias("t"))
-    return rank.document_frequency(tokens.select(F.explode("t").alias("term")))
+    # An outer explode: for an inner one Spark would test the array's size first, and cut each text a second time for that.
+    return rank.document_frequency(tokens.select(F.explode_outer("t").alias("term")).where("term is not null"))
 
 
 @query(f"WITH {_D_TERMS} SELECT term, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM df, nd")
@@ -341,12 +342,12 @@ def contained(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """
     cut = passages.select("qid", "p", F.split("p", " ").alias("w")).withColumn("n", F.size("w"))
     words = docs.select("doc_id", F.split("text", " ").alias("w"))
-    threes = words.select("doc_id", F.explode(F.array_distinct(F.expr("transform(sequence(1, greatest(1, size(w) - 2)), i -> array_join(slice(w, i, 3), ' '))"))).alias("key"))
+    threes = words.select("doc_id", F.explode_outer(F.array_distinct(F.expr("transform(sequence(1, greatest(1, size(w) - 2)), i -> array_join(slice(w, i, 3), ' '))"))).alias("key"))
     long = cut.where("n >= 5").select("qid", "p", F.array_join(F.slice("w", 2, 3), " ").alias("key"))
     met = threes.join(long, "key").select("doc_id", "qid", "p")
     some = cut.where("n between 3 and 4").select("qid", "p", F.col("w")[1].alias("key"))
     if some.limit(1).count():
-        met = met.unionByName(words.select("doc_id", F.explode(F.array_distinct("w")).alias("key")).join(some, "key").select("doc_id", "qid", "p"))
+        met = met.unionByName(words.select("doc_id", F.explode_outer(F.array_distinct("w")).alias("key")).join(some, "key").select("doc_id", "qid", "p"))
     found = met.distinct().join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "p")).select("qid", "doc_id")
     short = cut.where("n < 3 and p <> ''").select("qid", "p")
     if n := short.count():
