@@ -145,7 +145,8 @@ def scan(files: DataFrame, scratch: Scratch, threshold: float = 0.6, path: str =
     vocabulary = known.select("term", "idf").distinct()
     unseen = 1.0 + math.log(1.0 + len(ALL))
     # Equal passages are looked at once.
-    tf = each.select("passage").distinct().select("passage", F.explode(terms(F.col("passage"))).alias("term")).groupBy("passage", "term").agg(F.count("*").alias("tf"))
+    # The explode is an outer one, as for an inner one Spark would make the terms a second time to test their number.
+    tf = each.select("passage").distinct().select("passage", F.explode_outer(terms(F.col("passage"))).alias("term")).where("term is not null").groupBy("passage", "term").agg(F.count("*").alias("tf"))
     weighed = tf.join(F.broadcast(vocabulary), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unseen)))
     norms = weighed.groupBy("passage").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = weighed.where("idf is not null").join(F.broadcast(known.select("template", "license", "term", "weight")), "term").groupBy("passage", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
