@@ -11,7 +11,7 @@ from .common import Scratch, table
 
 
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk.search(table(spark, sf_dir, "embeddings"))
+    return topk.search(table(spark, sf_dir, "embeddings"), same_length=False)
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

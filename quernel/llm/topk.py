@@ -15,6 +15,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,15 +102,26 @@ def whole(x: float) -> int:
 def best_wide(rows: list[list[int]], ids: np.ndarray, query: list[int], own: int, k: int) -> list[tuple[int, int]]:
     """Score and id of the k best rows by sums of any size; scores beyond a long are the largest or least long."""
     clip = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
-    scored = sorted((-clip(sum(a * b for a, b in zip(query, r, strict=True))), i) for r, i in zip(rows, ids.tolist(), strict=True) if i != own)
+    scored = sorted((-clip(sum(a * b for a, b in zip(query, r, strict=False))), i) for r, i in zip(rows, ids.tolist(), strict=True) if i != own)
     return [(-s, i) for s, i in scored[:k]]
 
 
-def search(vectors: DataFrame, k: int = 5, every: int = 50, block: int = 8_192, query_block: int = 8_192, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def of_width(flat: np.ndarray, sizes: np.ndarray, width: int) -> np.ndarray:
+    """Lists of the given sizes, one after another in flat, as rows of one width: cut, or filled with zeros."""
+    if (sizes == width).all():
+        return flat.reshape(len(sizes), width)
+    out, place = np.zeros((len(sizes), width), flat.dtype), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    held = place < width
+    out[np.repeat(np.arange(len(sizes)), sizes)[held], place[held]] = flat[held]
+    return out
+
+
+def search(vectors: DataFrame, k: int = 5, every: int = 50, block: int = 8_192, query_block: int = 8_192, key: str = "vec_id", vector: str = "embedding", same_length: bool = True) -> DataFrame:
     """query_id, rank, vec_id and score of the k best rows for each query (a row whose id is divisible by `every`).
 
     Null ids, null vectors and vectors with null or non-finite components take no part. Vectors are compared with those of
-    their length; empty ones score 0 with one another. Components of any finite size count in full; a score that no long
+    their length, or, unless same_length, with all, by the products of the places that both have; without any the score is 0,
+    as it is of two empty ones. Components of any finite size count in full; a score that no long
     holds is the largest or least long. Rows with a query's id are its own and never its result; repeated query rows are one
     query, rows that share a query's id and differ are a query each; repeated candidate rows are candidates each; ties go to
     the smaller id. Other columns are ignored. Empty tables give no rows.
@@ -119,20 +131,29 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, block: int = 8_192,
     rows = vectors.select(F.col(key).cast("bigint").alias("id"), numbers.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & fine)
     narrow = F.forall("v", lambda x: F.abs(x) < WIDE / 256) & (F.size("v") <= MOST_DIMENSIONS)
     small = F.when(narrow, F.transform("v", lambda x: F.floor(x * 256).cast("int")))
-    rows = rows.select("id", F.size("v").alias("dim"), small.alias("v"), F.when(~narrow, F.col("v")).alias("wide"))
+    # Vectors of one block have one length, or else lengths below the same power of two.
+    dim = F.size("v") if same_length else F.length(F.bin(F.size("v")))
+    rows = rows.select("id", dim.alias("dim"), small.alias("v"), F.when(~narrow, F.col("v")).alias("wide"))
     queries = rows.where(F.col("id") % every == 0).dropDuplicates(["id", "v", "wide"])
     n_rows, n_queries = rows.count(), queries.count()
     blocks, groups = max(12, -(-n_rows // block)), max(1, -(-n_queries // query_block))
     # Every block of queries meets every block of rows: queries are all rows whose id fits, a stated set. Rows are dealt by
-    # their place in the input, so that no id or vector fills a block.
-    left = rows.withColumn("vb", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    right = queries.withColumn("twin", F.xxhash64("v", "wide")).withColumn("qb", F.pmod(F.xxhash64("id", "twin"), F.lit(groups))).withColumn("vb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-
-    def parts(t: pa.Table) -> tuple[pa.Table, np.ndarray, pa.Table]:
+    # their place in the input, so that no id or vector fills a block. Numbers of blocks have one type on both sides: a cogroup
+    # hashes them as they are, and an int doesn't meet an equal long.
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    part = lambda c, n: F.pmod(c, F.lit(n).cast("bigint"))
+    left = rows.withColumn("vb", part(F.xxhash64(F.monotonically_increasing_id()), blocks)).withColumn("qb", upto(groups))
+    right = queries.withColumn("twin", F.xxhash64("v", "wide")).withColumn("qb", part(F.xxhash64("id", "twin"), groups)).withColumn("vb", upto(blocks))
+    if not same_length:
+        dims = [r[0] for r in rows.select("dim").distinct().collect()]  # at most 32 numbers
+        right = right.withColumn("dim", F.explode(F.array(*map(F.lit, dims)).cast("array<int>")))
+
+    def parts(t: pa.Table, width: int | None) -> tuple[pa.Table, np.ndarray, pa.Table]:
         is_small = t.column("v").is_valid()
         a, b = t.filter(is_small), t.filter(t.column("wide").is_valid())
         flat = pa.chunked_array([c.flatten() for c in a.column("v").chunks], pa.int32()).to_numpy()
-        return a, flat.reshape(a.num_rows, -1) if len(flat) else np.zeros((a.num_rows, 0), np.int32), b
+        sizes = pc.list_value_length(a.column("v")).to_numpy().astype(np.int64)
+        return a, of_width(flat, sizes, int(sizes.max(initial=0)) if width is None else width), b
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         out: dict[str, list] = {"query_id": [], "twin": [], "vec_id": [], "score": []}
@@ -143,7 +164,8 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, block: int = 8_192,
             for name, x in zip(out, (np.full(len(ids), query), np.full(len(ids), twin), ids, scores), strict=True):
                 out[name].append(np.asarray(x, np.int64))
 
-        (v_small, v, v_wide), (q_small, q, q_wide) = parts(a), parts(b)
+        v_small, v, v_wide = parts(a, None)
+        q_small, q, q_wide = parts(b, v.shape[1])
         v_ids = v_small.column("id").to_numpy()
         for at in range(0, len(v), 2 * block):  # blocks dealt by hash vary a little
             index = Index(v[at : at + 2 * block], v_ids[at : at + 2 * block])
@@ -155,7 +177,7 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, block: int = 8_192,
         if v_wide.num_rows or q_wide.num_rows:
             wide_rows, wide_queries = spelled(v_wide), spelled(q_wide)
             every_row, every_id = [*v.tolist(), *wide_rows], np.concatenate([v_ids, v_wide.column("id").to_numpy()])
-            for t, own, rows_, ids in ((q_small, q.tolist(), wide_rows, v_wide.column("id").to_numpy()), (q_wide, wide_queries, every_row, every_id)):
+            for t, own, rows_, ids in ((q_small, q_small.column("v").to_pylist(), wide_rows, v_wide.column("id").to_numpy()), (q_wide, wide_queries, every_row, every_id)):
                 for i, twin, x in zip(t.column("id").to_pylist(), t.column("twin").to_pylist(), own, strict=True):
                     best = best_wide(rows_, ids, x, i, k)
                     told(i, twin, np.array([j for _, j in best], np.int64), np.array([s for s, _ in best], np.int64))

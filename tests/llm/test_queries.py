@@ -2,6 +2,7 @@
 
 import glob
 import os
+import random
 
 import duckdb
 import pytest
@@ -34,6 +35,32 @@ def test_query_against_sql(spark, name):
     against_sql(queries.QUERIES[name](spark, SF), queries.ORACLES[name], SF)
 
 
+def test_topk_counts_every_length(spark, tmp_path):
+    """Vectors of any length take part, by the places that both have: against the SQL, and, where empty ones have no sum there, 0."""
+    rng = random.Random(6)
+    vectors = [[rng.uniform(-1, 1) for _ in range(rng.choice([1, 3, 8, 9, 40]))] for _ in range(160)]
+    vectors[7], vectors[100], vectors[101] = [3e6] * 30, [5e5, -2.0], [2e5, 1.0, 1.0]  # beyond the index
+    write = lambda rows, name: spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/{name}/embeddings.parquet")
+    write(list(enumerate(vectors)), "any")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/any/embeddings.parquet/*.parquet'")
+    want = con.sql(f"SELECT query_id, rank, vec_id, score FROM ({queries.ORACLES['op1_topk']})").fetchall()
+    assert sorted(tuple(r) for r in queries.op1_topk(spark, f"{tmp_path}/any").collect()) == sorted(want) and len(want) == 20
+    write([(0, []), (1, [1.0]), (2, [-1.0]), (50, [0.5]), (51, [])], "empty")
+    got = sorted(tuple(r) for r in queries.op1_topk(spark, f"{tmp_path}/empty").collect())
+    assert got == [(0, 1, 1, 0), (0, 2, 2, 0), (0, 3, 50, 0), (0, 4, 51, 0), (50, 1, 1, 32768), (50, 2, 0, 0), (50, 3, 51, 0), (50, 4, 2, -32768)]
+
+
+def test_topk_blocks_meet_in_every_partition(spark):
+    """Small partitions that aren't joined into one: each block of queries still meets each block of rows."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    try:
+        against_sql(queries.op1_topk(spark, SF), queries.ORACLES["op1_topk"], SF)
+    finally:
+        spark.conf.unset(name)
+
+
 def test_quality_rules_against_sql_with_cutoffs(spark):
     """On the larger tables there are cutoffs, so the SQL is held to them and not to the base rules alone."""
     df = queries.op4_quality_rules(spark, LARGER).cache()
