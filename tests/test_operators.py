@@ -1,5 +1,6 @@
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -45,6 +46,36 @@ def test_batch_is_the_same_as_single_queries_and_blocks(spark, monkeypatch):
     assert rows(retrieve.batch_top_k(items, queries, 3)) == batch
 
 
+def test_blocks_give_what_the_expression_gives(spark, monkeypatch):
+    """Copies, ties, odd norms, lengths, nulls, repeated ids and keys of text: the same rows and the same bits by matrix products; with
+    small partitions that aren't joined, too."""
+    rng = random.Random(8)
+    made = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(120)]
+    made += [made[3]] * 20 + [[2 * x for x in made[3]]] * 5 + [[0.0] * 6] * 3 + [[float("nan")] * 6, [float("inf")] + [1.0] * 5, [1e200] * 6, [1e-200] * 6, [None] + [1.0] * 5, None, [], [1.0] * 3, [2.0, 1.0, 1.0]]
+    items = spark.createDataFrame([(f"é{i % 160}", v, i // 9 % 5 or None) for i, v in enumerate(made)], "vec_id string, embedding array<double>, ordinal int")
+    queries = spark.createDataFrame([(i // 2, v) for i, v in enumerate(made[::3] + made[-12:])], "qid long, qv array<double>")
+    rows = lambda **o: sorted(repr(tuple(r)) for r in retrieve.batch_top_k(items, queries, 7, **o).select("qid", "rank", "vec_id", "score").collect())
+    plain, tied = rows(), rows(tie="ordinal")
+    for name, n in (("MOST_PAIRS", 0), ("BLOCK", 30), ("QUERY_BLOCK", 20)):
+        monkeypatch.setattr(retrieve, name, n)
+    assert any("nan" in r for r in plain) and rows() == plain and rows(tie="ordinal") == tied
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    try:
+        assert rows() == plain
+    finally:
+        spark.conf.unset(name)
+
+
+def test_blocks_do_the_work_of_large_searches(spark):
+    """A million pairs and more meet in blocks, not in a crossed join whose pairs are scored one by one."""
+    e = spark.range(20_000).select(F.col("id").alias("vec_id"), F.array(F.rand(1), F.rand(2)).alias("embedding"))
+    found = retrieve.batch_top_k(e, catalogue.query_vectors(e), 3)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" in plan and "Join" not in plan
+    assert found.count() == 3_000
+
+
 def test_equal_scores_in_the_order_of_a_column(spark):
     items = spark.createDataFrame([(1, [1.0], 3), (2, [2.0], 1), (3, [3.0], 2)], "vec_id long, embedding array<double>, ordinal int")
     queries = spark.createDataFrame([(0, [1.0])], "qid long, qv array<double>")
